@@ -29,6 +29,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def write_table(df: DataFrame) -> tuple[DataFrame, str]:
+    """Writes the frame as a compressed table in the shared checkpoint folder and reads it back: for large rows that are used twice."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Removes a table of write_table once nothing reads it any more."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def held_out(doc_id: str, mod: int, remainder: int, equal: bool = True) -> Column:
     """Whether a row is outside the training rows; a null id is never learned from and counts as held out."""
     r = F.crc32(F.col(doc_id).cast("string")) % mod

@@ -2,7 +2,7 @@
 
 Sets are 64-bit hashes. Tiles are banded by size: a class of sizes cuts the hash space into p equal segments, with p so large that
 two linked sets of the class cannot differ in every segment that is not empty; so they have a segment with the same content, and
-tiles, named by class, segment and content, bring every linked pair together. In a tile each set meets its first; those that
+tiles, named by class, segment and content, bring every linked pair together. Small sets meet by pairs of their rarest members. In a tile each set meets its first; those that
 end in different components then meet each other. A pair is bounded from above by bit counts of hashed bitmaps, whose length
 follows the size, before the exact intersection of sorted arrays. Sets that are equal are one from the start.
 """
@@ -10,15 +10,17 @@ follows the size, before the exact intersection of sorted arrays. Sets that are
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, fresh
+from .common import components, cut, drop_table, fresh, write_table
 
 WORDS, THRESHOLD = 5, 80
 #: Ids up to which a side is broadcast; beyond it the same join is shuffled.
@@ -33,6 +35,16 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+#: Sets up to this size meet by pairs of members.
+SMALL = 128
+#: Slots of the frequency sketch that orders the members of small sets: 2 to this power, whatever the input.
+SLOT_BITS = 17
+
+
+def slots_of(s: np.ndarray) -> np.ndarray:
+    return (s * _B) >> np.uint64(64 - SLOT_BITS)
+
+
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct hashes of all runs of `words` words, A-Z lower-cased; of the whole sequence if it is shorter; none without words."""
     if not text:
@@ -60,51 +72,65 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=8)
-def limits(threshold: int) -> list[int]:
-    """The largest size of each class: class 0 has one segment a shingle, class j then 2^(j+2) segments.
+def size_classes(threshold: int) -> tuple[list[int], list[int]]:
+    """(largest size of each class, its number): under 4 the members a tile combines, from 4 the segments of the hash space.
 
-    With sizes up to n, linked sets differ in at most 2n(1-t)/(1+t) shingles, and so in as many segments; the segments that are not
-    empty, less eight standard deviations, are more than that.
+    Small sets: tiles are pairs among the rarest members, by a sketch of frequencies. In any order common to all sets, one that lacks at
+    most f of its members in a partner has among its first f + 2 at least two that both have first, so a linked pair shares a tile. Larger sets: with sizes up to n, linked sets differ in at most
+    2n(1-t)/(1+t) members, and so in as many segments; the segments that are not empty, less eight standard deviations, are more.
     """
+    if not 67 <= threshold <= 100:
+        raise ValueError("threshold must be from 67 to 100")
     t = threshold / 100
-    top = [12]
-    for j in range(1, 40):
-        p = 2.0 ** (j + 2)
+    tops, kinds = [SMALL], [2]
+    p = 16
+    while tops[-1] < 1 << 40:
+        p = max(p + 1, int(p * 1.25))
 
-        def good(n: int, p: float = p) -> bool:
+        def good(n: int, p: int = p) -> bool:
             c = n / p
             e = math.exp(-c)
             spread = math.sqrt(max(0.0, p * e * (1 - (1 + c) * e)))  # of the number of empty segments
             return p * (1 - e) - 8 * spread - 1 > 2 * n * (1 - t) / (1 + t)
 
-        lo, hi = top[-1], int(8 * p)
-        if not good(lo + 1):
-            top.append(lo)
+        low, high = tops[-1] + 1, 8 * p
+        if high <= low or not good(low):
             continue
-        while lo < hi:
-            mid = (lo + hi + 1) // 2
-            lo, hi = (mid, hi) if good(mid) else (lo, mid - 1)
-        top.append(max(lo, top[-1]))
-    return top
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if good(mid) else (low, mid - 1)
+        tops.append(low)
+        kinds.append(p)
+    return tops, kinds
+
 
+@lru_cache(maxsize=256)
+def _choices(m: int, d: int) -> np.ndarray:
+    return np.array(list(combinations(range(m), d)), np.int64).reshape(-1, d)
 
-def keys_of(s: np.ndarray, threshold: int) -> np.ndarray:
-    """The tiles of a set: its own class and those up to the largest set it can link with."""
+
+def keys_of(s: np.ndarray, threshold: int, often: np.ndarray | None = None) -> np.ndarray:
+    """The tiles of a set: those of its own class and of the classes up to the largest set it can link with."""
     n = len(s)
-    tops = limits(threshold)
-    first, last = (int(np.searchsorted(tops, x)) for x in (n, n * 100 // threshold))
+    tops, kinds = size_classes(threshold)
     out = []
-    for j in range(first, last + 1):
-        if j and tops[j] == tops[j - 1]:
-            continue
-        if j == 0:
-            out.append(_mix(s ^ _B))
-            continue
-        seg = s >> np.uint64(64 - (j + 2))
-        at = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
-        content = np.add.reduceat(_mix(s + _A), at)
-        out.append(_mix(content + seg[at] * _A + np.uint64(j)))
-    return np.unique(np.concatenate(out))
+    for j in range(bisect_left(tops, n), bisect_left(tops, n * 100 // threshold) + 1):
+        if kinds[j] < 4:
+            d = kinds[j]
+            if n < d:
+                continue  # no other set is near enough to one so small
+            order = s if often is None else s[np.lexsort((s, often[slots_of(s)]))]
+            first = order[: n * (100 - threshold) // 100 + d]
+            key = np.full(1, np.uint64(j + 1))
+            for col in _choices(len(first), d).T:
+                key = _mix(key * _A + first[col])
+            out.append(key)
+        else:
+            seg = ((s >> np.uint64(32)) * np.uint64(kinds[j])) >> np.uint64(32)
+            at = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
+            content = np.add.reduceat(_mix(s + _A), at)
+            out.append(_mix(content + seg[at] * _A + np.uint64(kinds[j])))
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -132,10 +158,10 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
     return 100 * both >= threshold * (len(a) + len(b) - both)
 
 
-def set_rows(docs: DataFrame, words: int, threshold: int) -> DataFrame:
-    """doc_id, n_shingles, d1, d2 (a digest of the set), keys: one row a document."""
+def set_rows(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n_shingles, d1, d2 (a digest of the set), slots (of a small set's members in the sketch): one row a document."""
 
-    @F.pandas_udf("n_shingles long, d1 long, d2 long, keys array<long>")
+    @F.pandas_udf("n_shingles long, d1 long, d2 long, slots array<int>")
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import xxhash
 
@@ -144,41 +170,63 @@ def set_rows(docs: DataFrame, words: int, threshold: int) -> DataFrame:
             for t in texts:
                 s = shingle_set(t, words)
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
-                out.append((len(s), (d & (2**64 - 1)) - 2**63, (d >> 64) - 2**63, keys_of(s, threshold).view(np.int64) if len(s) else np.zeros(0, np.int64)))
-            yield pd.DataFrame(out, columns=["n_shingles", "d1", "d2", "keys"])
+                slots = np.unique(slots_of(s)).astype(np.int32) if len(s) <= SMALL else np.zeros(0, np.int32)
+                out.append((len(s), (d & (2**64 - 1)) - 2**63, (d >> 64) - 2**63, slots))
+            yield pd.DataFrame(out, columns=["n_shingles", "d1", "d2", "slots"])
 
     return docs.select("doc_id", apply("text").alias("s")).select("doc_id", "s.*")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) of ids whose sets link. Bitmaps and sorted arrays of the paired documents are made from their whole texts."""
+def frequencies(rows: DataFrame) -> np.ndarray:
+    """How many small sets have a member in each slot: at most 2^SLOT_BITS counts come to the driver, from all rows."""
+    out = np.zeros(1 << SLOT_BITS, np.int64)
+    for r in rows.select(F.explode("slots").alias("slot")).groupBy("slot").count().toLocalIterator():
+        out[r["slot"]] = r["count"]
+    return out
 
-    @F.pandas_udf("n long, bits binary, members binary")
-    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+
+def tile_rows(docs: DataFrame, words: int, threshold: int, often: np.ndarray) -> DataFrame:
+    """key, id: the tiles of every document's set."""
+
+    @F.pandas_udf("array<long>")
+    def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            got = [shingle_set(t, words) for t in texts]
-            yield pd.DataFrame({"n": [len(s) for s in got], "bits": [bitmap(s) for s in got], "members": [s.tobytes() for s in got]})
+            sets = [shingle_set(t, words) for t in texts]
+            yield pd.Series([keys_of(s, threshold, often).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets])
+
+    return docs.select(F.explode(keys("text")).alias("key"), F.col("doc_id").alias("id"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
+    """The pairs (a, b) of ids whose sets link. Whole texts travel, which take less room than their hashes; bitmaps and sorted
+    arrays are made where a pair meets, and kept for the next pair of the same document."""
 
     @F.pandas_udf("boolean")
     def check(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for na, ba, ma, nb, bb, mb in batches:
+        @lru_cache(maxsize=64)
+        def made(text: str) -> tuple[np.ndarray, bytes]:
+            s = shingle_set(text, words)
+            return s, bitmap(s)
+
+        for left, right in batches:
             out = []
-            for n, x, s, m, y, t in zip(na, ba, ma, nb, bb, mb):
-                need = -(-threshold * (n + m) // (100 + threshold))
-                if bound(x, n, y, m) < need:
-                    out.append(False)
-                else:
-                    out.append(linked(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64), threshold))
+            for x, y in zip(left, right):
+                (s, p), (t, q) = made(x), made(y)
+                need = -(-threshold * (len(s) + len(t)) // (100 + threshold))
+                out.append(bound(p, len(s), q, len(t)) >= need and linked(s, t, threshold))
             yield pd.Series(out, dtype=bool)
 
-    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    if ids.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    made = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", sets("text").alias("s"))
-    made = cut(made.select("doc_id", "s.*"))
-    left = made.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"), F.col("members").alias("ma"))
-    right = made.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"), F.col("members").alias("mb"))
-    return pairs.join(left, "a").join(right, "b").where(check("na", "ba", "ma", "nb", "bb", "mb")).select("a", "b")
+    texts = kept(docs.select("doc_id", "text"), pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
+    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    return pairs.join(left, "a").join(right, "b").where(check("ta", "tb")).select("a", "b")
+
+
+def kept(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows whose doc_id is, or is not, among the ids: by broadcast up to BROADCAST_ROWS of them, else by a shuffled join."""
+    ids = cut(ids)
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", how)
 
 
 def classes(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
@@ -187,23 +235,28 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) ->
     Null texts and texts without words have empty sets and link with nothing, not even each other. Ids should be unique; rows with
     a null id are kept, with their own size and a null component. An empty table gives an empty result.
     """
-    rows = cut(set_rows(docs, words, threshold))
+    spark = docs.sparkSession
+    rows = cut(set_rows(docs, words))
     some = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     # equal sets are one, under their smallest id
     member = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    keyed = rows.select("doc_id", "n_shingles", "keys").join(member.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    tiles = keyed.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+    named = cut(some.join(member, ["d1", "d2"]).select("doc_id", "rep").distinct())
+    copies = named.where(F.col("doc_id") != F.col("rep")).select("doc_id")
+    first = kept(docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text"), copies, "left_anti")
     w = Window.partitionBy("key")
-    hits = tiles.withColumn("low", F.min("id").over(w)).withColumn("high", F.max("id").over(w)).where(F.col("low") < F.col("high"))
-    hits = cut(hits.select("key", "id", "n", "low"))
-    pairs = cut(hits.where(F.col("id") != F.col("low")).select(F.col("low").alias("a"), F.col("id").alias("b")).distinct())
+    met = tile_rows(first, words, threshold, frequencies(rows)).withColumn("low", F.min("id").over(w)).withColumn("high", F.max("id").over(w))
+    hits, path = write_table(met.where(F.col("low") < F.col("high")).select("key", "id", "low"))
+    # each set meets the first of its tiles
+    pairs = cut(hits.where(F.col("id") != F.col("low")).groupBy("id").agg(F.min("low").alias("a")).select("a", F.col("id").alias("b")))
     links = cut(verified(pairs, docs, words, threshold))
     comp = cut(components(links))
     # sets of one tile that are still apart: every pair of them across components, unless their sizes already rule it out
-    at = hits.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    v = Window.partitionBy("key")
-    apart = at.withColumn("c0", F.min("component").over(v)).withColumn("c1", F.max("component").over(v)).where(F.col("c0") < F.col("c1"))
-    apart = cut(apart.select("key", "id", "n", "component"))
+    sizes = rows.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
+    few = comp.count() <= BROADCAST_ROWS
+    at = hits.select("key", "id").join(F.broadcast(comp) if few else comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_keys = at.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where(F.col("c0") < F.col("c1")).select("key")
+    apart = cut(at.join(open_keys, "key", "left_semi").join(sizes, "id").distinct())
+    drop_table(spark, path)
     x = apart.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
     y = apart.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     near = (F.col("na") * 100 >= F.col("nb") * threshold) & (F.col("nb") * 100 >= F.col("na") * threshold)
@@ -211,11 +264,12 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) ->
     more = cut(more.join(pairs, ["a", "b"], "left_anti"))
     if more.count():
         comp = cut(components(links.union(verified(more, docs, words, threshold))))
-    whole = some.select("doc_id", "d1", "d2").join(member, ["d1", "d2"]).join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    # the class' smallest member, over the representatives' copies: a representative is the smallest of its copies
-    whole = whole.select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    named = rows.select("doc_id", "n_shingles").join(whole.dropDuplicates(["doc_id"]), "doc_id", "left")
-    return named.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # a component's smallest representative is its smallest member, for a representative is the smallest of its copies
+    whole = named.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    whole = whole.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
+    return rows.select("doc_id", "n_shingles").join(whole, "doc_id", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+    )
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
