@@ -60,8 +60,8 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
-def labelled_ids(labels: DataFrame, label: str, learn: Column, per_class: int) -> DataFrame:
-    """(doc_id, label): for each class the `per_class` ids of lowest hash, a bounded sample that does not depend on partitioning.
+def labelled_ids(labels: DataFrame, label: str, learn: Column, per_class: int | tuple[int, int]) -> DataFrame:
+    """(doc_id, label): for each class the `per_class` ids (or as many as its element says) of lowest hash, a bounded sample that does not depend on partitioning.
 
     Rows with a null id or label do not count; where an id has several labels the largest holds.
     """
@@ -71,12 +71,14 @@ def labelled_ids(labels: DataFrame, label: str, learn: Column, per_class: int) -
         .groupBy("doc_id")
         .agg(F.max(F.col(label).cast("int")).alias("label"))
     )
+    zero, positive = per_class if isinstance(per_class, tuple) else (per_class, per_class)
     w = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    return one.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_class).drop("rn")
+    ranked = one.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max(zero, positive))
+    return ranked.where(F.col("rn") <= F.when(F.col("label") == 1, positive).otherwise(zero)).drop("rn")
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int) -> list[tuple[str, int]]:
-    """At most 2 * per_class (text, label) pairs for training on the driver; the ids, at most as many, are broadcast."""
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int | tuple[int, int]) -> list[tuple[str, int]]:
+    """At most per_class (text, label) pairs of each class for training on the driver; the ids, at most as many, are broadcast."""
     ids = labelled_ids(labels, label, learn, per_class)
     rows = (
         docs.select("doc_id", "text")

@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from .common import fresh, held_out, labelled_texts
 
 _WORD = re.compile(r"[^\W_]+")
-DIM, WINDOW, PAD, N_LOW, N_HIGH = 6, 10, 4, 3, 5
-#: Labelled documents of each class that training may see.
-PER_CLASS = 700
+DIM, WINDOW, PAD, N_LOW, N_HIGH = 4, 10, 4, 3, 5
+#: Labelled documents that training may see: clean and toxic ones. A fifth of them only set the calibration.
+PER_CLASS = (2000, 900)
 #: Windows of one labelled document that training may see: of a toxic and of a clean one.
-PER_DOC = (30, 60)
+PER_DOC = (24, 60)
 #: An n-gram gets a vector if this share of the training documents, and two at least, hold it.
 LEAST_SHARE = 0.003
 DECAY = 1e-5
@@ -86,6 +86,9 @@ def _segments(order_key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray,
 
 def train(samples: list[tuple[str, int]], steps: int = 36, seed: int = 7) -> Model | None:
     """None without samples of both classes."""
+    whole = samples
+    if sum(y for _, y in samples) >= 50:
+        samples = [x for i, x in enumerate(whole) if i % 5]
     if len({y for _, y in samples}) < 2:
         return None
     rng = np.random.default_rng(seed)
@@ -163,8 +166,11 @@ def train(samples: list[tuple[str, int]], steps: int = 36, seed: int = 7) -> Mod
     add = E @ (W[:, 1] - W[:, 0])
     model = Model({g: float(add[new_id[i]]) for g, i in grams.items() if known[i]}, float(bias[1] - bias[0]), 1.0, 0.0)
     cache = _Words(model)
-    logits = np.array([model_logit(cache, text) for text, _ in samples])
-    model.slope, model.shift = calibrate(logits, y_doc)
+    held = [x for i, x in enumerate(whole) if i % 5 == 0] if len(samples) < len(whole) else whole
+    if len({y for _, y in held}) < 2:
+        held = whole
+    logits = np.array([model_logit(cache, text) for text, _ in held])
+    model.slope, model.shift = calibrate(logits, np.array([y for _, y in held], dtype=float))
     return model
 
 
@@ -174,10 +180,10 @@ def model_logit(cache: dict[str, float], text: str | None) -> float:
 
 
 def calibrate(logits: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
-    """Platt's two numbers by Newton's method, the clean weighing 7 to 3."""
+    """Platt's two numbers by Newton's method, the clean weighing three times as much."""
     scale = max(1e-6, float(np.abs(logits - np.median(logits)).mean()))
     x = np.stack([(logits - logits.mean()) / scale, np.ones_like(logits)], 1)
-    w = np.where(y == 1, 0.3 / max(1, y.sum()), 0.7 / max(1, (1 - y).sum())) * len(y)
+    w = np.where(y == 1, 0.25 / max(1, y.sum()), 0.75 / max(1, (1 - y).sum())) * len(y)
     th = np.array([1.0, 0.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ th, -30, 30)))
@@ -221,8 +227,8 @@ def scorer(model: Model | None):
     return score
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS) -> Model | None:
-    """Trains on at most `per_class` labelled documents of each class among those that `learn` admits."""
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: tuple[int, int] = PER_CLASS) -> Model | None:
+    """Trains on at most `per_class` labelled documents, clean and toxic, among those that `learn` admits."""
     return train(labelled_texts(docs, labels, "toxic", learn, per_class))
 
 
