@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
-def processor(n: int, wait_ms: int, key: str, item: str):
+def processor(n: int, wait_ms: int, by: str, item: str):
     """A batch ends at n items or wait_ms after its first; the rest of a key stays in state until its timer fires."""
 
     class TimedBatch(StatefulProcessor):
@@ -21,22 +21,22 @@ def processor(n: int, wait_ms: int, key: str, item: str):
         def _emit(self, k, items: list) -> pd.DataFrame:
             i = self.number.get()[0] if self.number.exists() else 0
             self.number.update((i + 1,))
-            return pd.DataFrame({key: [k[0]], "batch_id": [i], "items": [items]})
+            return pd.DataFrame({by: [k[0]], "batch_id": [i], "items": [items]})
 
-        def handleInputRows(self, k, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
             held = [x[0] for x in self.items.get()] if self.items.exists() else []
             had = bool(held)
             for frame in rows:
                 for v in frame[item]:
                     held.append(int(v))
                     if len(held) >= n:
-                        yield self._emit(k, held)
+                        yield self._emit(key, held)
                         held, had = [], False
                         self._stop_timers()
             if held:
                 self.items.put([(v,) for v in held])
                 if not had:
-                    self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + wait_ms)
+                    self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + wait_ms)
             else:
                 self.items.clear()
 
@@ -44,11 +44,11 @@ def processor(n: int, wait_ms: int, key: str, item: str):
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
 
-        def handleExpiredTimer(self, k, timers, expired) -> Iterator[pd.DataFrame]:  # noqa: N802
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
             held = [x[0] for x in self.items.get()] if self.items.exists() else []
             self.items.clear()
             if held:
-                yield self._emit(k, held)
+                yield self._emit(key, held)
 
         def close(self) -> None:
             pass
