@@ -105,7 +105,7 @@ class _Interleaver(HTMLParser):
         self.out: list[dict] = []
         self.buf: list[str] = []
         self.hidden = 0
-        self.figure: list[int] = []  # where the open figures began
+        self.figure: list[list] = []  # where the open figures began, and their captions so far
         self.caption: list[str] | None = None
 
     def flush(self) -> None:
@@ -124,11 +124,11 @@ class _Interleaver(HTMLParser):
             self.flush()
             got = dict(attrs)
             digest = got.get("data-digest") or ((got.get("src") or "").removeprefix("sha256:") if (got.get("src") or "").startswith("sha256:") else None)
-            self.out.append({"kind": _MEDIA[tag] or "media", "text": None, "digest": digest, "caption": got.get("alt") or None})
+            self.out.append({"kind": _MEDIA[tag] or "media", "text": None, "digest": digest, "caption": (self.figure[-1][1] if self.figure else None) or got.get("alt") or None})
         elif tag in _BLOCKS and self.caption is None:
             self.flush()
             if tag == "figure":
-                self.figure.append(len(self.out))
+                self.figure.append([len(self.out), None])
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -140,7 +140,9 @@ class _Interleaver(HTMLParser):
             self.hidden = max(0, self.hidden - 1)
         elif tag == "figcaption" and self.caption is not None:
             said = " ".join("".join(self.caption).split())
-            for e in self.out[self.figure[-1] if self.figure else len(self.out) :]:
+            if self.figure:
+                self.figure[-1][1] = said or None
+            for e in self.out[self.figure[-1][0] if self.figure else len(self.out) :]:
                 if e["kind"] != "text":
                     e["caption"] = said or e["caption"]
             self.caption = None

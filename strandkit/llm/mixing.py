@@ -4,7 +4,8 @@ The words of each source, in a fixed order of its documents, are packed into blo
 a source). A source's target makes its number of slots; every slot falls on one output shard by a hash, so the source counts of
 the shards are multinomial draws while each source's total is met exactly. Slot i of a source takes block p(i): full blocks in the
 order of a pseudorandom permutation of their indexes (a swap-or-not network keyed by source and epoch), the short block last, then
-the next epoch with another permutation. Slots and blocks meet in a join by source and block index.
+the next epoch with another permutation. Slots and blocks meet in a sort-merge join by source and block index; neither side is
+ever broadcast, for both grow with the input.
 
 A source's running word offsets come from two levels of sums, within buckets of documents and over the buckets, so a source that
 holds a third of all rows is spread over many tasks.
@@ -24,7 +25,7 @@ WEIGHTS = (5, 2, 1)
 #: What the sources share, as a multiple of all sizes, and what a target stays within, as a multiple of its source's size.
 SHARE, CAP = 1.5, 2
 #: Words a block; blocks an output shard on average; documents a bucket of the prefix sums; slots made at once.
-BLOCK, SHARD_BLOCKS, BUCKET_DOCS, CHUNK = 128, 4096, 20_000, 1 << 16
+BLOCK, SHARD_BLOCKS, BUCKET_DOCS, CHUNK = 128, 4096, 20_000, 1 << 12
 ROUNDS, SEED = 16, 20_24
 
 
@@ -83,7 +84,9 @@ def slots(plan: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS)
     total = p.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     shards = max(1, math.ceil(total / shard_blocks))
     chunks = p.where(F.col("n") > 0).withColumn("c", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / CHUNK))))
-    rows = chunks.repartition("sid", "c").withColumn(
+    # a few chunk rows become very many slots: a fixed number of partitions, as the rows' own size would have them all in one
+    parts = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = chunks.repartition(parts, "sid", "c").withColumn(
         "slot", F.explode(F.sequence(F.col("c") * CHUNK, F.least(F.col("n"), (F.col("c") + 1) * CHUNK) - 1))
     )
     epoch, j = F.floor(F.col("slot") / F.col("blocks")), F.pmod("slot", "blocks")
@@ -135,7 +138,7 @@ def mixed_pieces(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: shard, slot, sid, block, doc_id, word `at` of the document and `n` words from there, for every taken piece."""
     sizes = cut(sized(docs))
     plan = cut(targets(sizes, **how))
-    joined = pieces(placed(sizes, plan)).join(slots(plan), ["sid", "block"])
+    joined = pieces(placed(sizes, plan)).join(slots(plan).hint("merge"), ["sid", "block"])
     n = F.least("high", "take") - F.col("low")
     return joined.withColumn("n", n).where(F.col("n") > 0).select("shard", "slot", "sid", "block", "doc_id", "low", "at", "n")
 
@@ -156,8 +159,9 @@ def mix(docs: DataFrame) -> DataFrame:
     """
     sizes = cut(sized(docs))
     plan = cut(targets(sizes))
-    gives = pieces(placed(sizes, plan)).join(slots(plan), ["sid", "block"], "left")
-    n = F.coalesce(F.greatest(F.least("high", "take") - F.col("low"), F.lit(0)), F.lit(0))
+    gives = pieces(placed(sizes, plan)).join(slots(plan).hint("merge"), ["sid", "block"], "left")
+    # blocks that no slot takes have no `take`; least() would skip the null
+    n = F.when(F.col("take").isNotNull(), F.greatest(F.least("high", "take") - F.col("low"), F.lit(0))).otherwise(0)
     taken = gives.groupBy("sid", "start").agg(
         F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum(n).cast("long").alias("taken")
     )

@@ -1,0 +1,269 @@
+"""Brute force, exact round trips, held-out accuracy, and the edge cases that every operator has to handle."""
+
+import hashlib
+import html
+import os
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+
+from strandkit.llm import decontamination, extraction, language, media, mixing, quality, queries, secrets, similarity, toxicity, urls
+
+SF = "/root/testdata/sf0.01"
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, size string"
+LONG = " ".join(f"word{i}" for i in range(30_000))
+ODD = [
+    (1, None, None, None, None, "x", "y"),
+    (2, "", "en", "a", 0, "x", "y"),
+    (3, " \n\t ", "en", "a", 4, "x", "y"),
+    (4, "one", "en", "a", 3, "x", "y"),
+    (5, LONG, "en", "b", len(LONG), "x", "y"),
+    (6, LONG + " more", "en", None, len(LONG) + 5, "x", "y"),
+    (7, "the same text of a few words here", "en", "a", 33, "x", "y"),
+    (7, "the same text of a few words here", "en", "a", 33, "x", "y"),
+    (8, "the same text of a few words here", "de", "b", 33, "x", "y"),
+    (None, "a row without an id but with some words", "en", "b", 39, "x", "y"),
+]
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, DOCS)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    return lambda n: spark.read.parquet(f"{SF}/{n}.parquet")
+
+
+def test_mixing(spark, odd, none, tables):
+    assert mixing.mix(none).count() == 0
+    rows = mixing.mix(odd).collect()
+    assert sorted((r["doc_id"] or 0, r["size"]) for r in rows) == sorted((d[0] or 0, len(WORD.findall(d[1] or ""))) for d in ODD)
+    assert all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
+    docs = tables("documents")
+    got = mixing.mix(docs).collect()
+    assert got and sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(docs.repartition(7)).collect()))  # reruns agree
+    by = {r["doc_id"]: r["source"] for r in docs.collect()}
+    size, taken, target = Counter(), Counter(), {}
+    for r in got:
+        size[by[r["doc_id"]]] += r["size"]
+        taken[by[r["doc_id"]]] += r["taken"]
+        target[by[r["doc_id"]]] = r["target"]
+        assert r["taken"] <= 2 * r["size"]
+    # brute force of the targets: share, cap, share the excess again
+    left, want, open_ = 1.5 * sum(size.values()), {}, sorted(size)
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(open_)}
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = [s for s in open_ if 2 * size[s] <= level * weight[s]]
+        for s in full or open_:
+            want[s] = 2.0 * size[s] if full else level * weight[s]
+            left -= want[s] if full else 0
+        open_ = [s for s in open_ if s not in full] if full else []
+    assert all(abs(target[s] - want[s]) < 1e-6 * want[s] and abs(taken[s] - want[s]) <= 1 for s in want)
+
+
+def test_permutation_and_shards(spark):
+    from pyspark.sql import functions as F
+
+    for n in (1, 2, 17, 1000):
+        got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(3), F.lit(0)).alias("p")).collect()
+        assert sorted(r["p"] for r in got) == list(range(n))
+    plan = spark.createDataFrame([("a", 0, 100_000, 5, 5.0, 150_000.0)], "source string, sid int, source_size bigint, n_docs bigint, weight double, target double")
+    s = mixing.slots(plan, shard_blocks=100)
+    assert s.agg(F.sum("take")).first()[0] == 150_000
+    counts = [r["n"] for r in mixing.shard_counts(s).collect()]
+    assert len(counts) == 12 and max(counts) < 160
+    texts = mixing.mixed_texts(spark.createDataFrame([(1, "a b c", "s"), (2, "d e", "s")], "doc_id bigint, text string, source string")).collect()
+    assert sum(len(r["text"].split()) for r in texts) == 8  # 150 % of five words, rounded
+
+
+def brute_classes(texts, k, t):
+    sets = {}
+    for i, x in texts:
+        ws = WORD.findall((x or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets[i] = {tuple(ws[j : j + k]) for j in range(len(ws) - k + 1)} or ({tuple(ws)} if ws else set())
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    ids = sorted(i for i in sets if sets[i])
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            if 100 * len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    return {i: (len(s), root(i)) for i, s in sets.items()}
+
+
+def test_similarity(spark, odd, none):
+    assert similarity.classes(none).count() == 0
+    got = similarity.classes(odd).collect()
+    assert len(got) == len(ODD)
+    by = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got}
+    assert by[1] == (0, 1) and by[2] == (0, 2) and by[3] == (0, 3) and by[7] == (4, 7) and by[8] == (4, 7) and by[5][1] == by[6][1] == 5 and by[None][1] is None
+    assert {r["doc_id"] for r in similarity.keep_one(odd).collect()} == {1, 2, 3, 4, 5, 7, None}
+    rng = np.random.default_rng(2)
+    vocab, texts = [f"w{i}" for i in range(300)], []
+    for n in (3, 6, 8, 20, 39, 44, 120, 131, 200, 420):
+        base = [vocab[i] for i in rng.integers(0, 300, n)]
+        for share in (0, 0.01, 0.02, 0.03, 0.04, 0.06, 0.1):
+            w = [vocab[int(rng.integers(300))] if rng.random() < share else x for x in base]
+            texts.append((len(texts), " ".join(w + ["more"] * int(rng.integers(0, 2)))))
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    for k, t in ((4, 85), (5, 80)):
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similarity.classes(df, k, t).collect()} == brute_classes(texts, k, t)
+
+
+def test_bound_holds():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 900))).astype(np.uint64))
+        b = np.unique(np.r_[a[: int(rng.integers(0, len(a) + 1))], rng.integers(0, 2**63, int(rng.integers(1, 900))).astype(np.uint64)])
+        assert similarity.bound(similarity.bitmap(a), len(a), similarity.bitmap(b), len(b)) >= len(np.intersect1d(a, b))
+
+
+@pytest.mark.parametrize("name", ["op2_ngram_jaccard_join", "op6_decontamination"])
+def test_queries_equal_their_sql(spark, tables, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
+    a, b = queries.queries()[name](spark, SF).toPandas(), con.execute(queries.SQL[name]).df()
+    cols = sorted(a.columns)
+    assert cols == sorted(b.columns) and sorted(map(tuple, a[cols].values.tolist())) == sorted(map(tuple, b[cols].values.tolist()))
+
+
+def test_decontamination(spark, odd, none):
+    bench = spark.createDataFrame([(1, "The same text, of a few words"), (2, "one"), (3, None), (4, ""), (None, "words"), (5, "not to be found anywhere in them")], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(odd, bench).collect()}
+    assert got == {(7, 1), (8, 1), (4, 2)}
+    assert {r["doc_id"] for r in decontamination.decontaminate(odd, bench).collect()} == {1, 2, 3, 5, 6, None}
+    assert decontamination.contaminated(none, bench).count() == 0 and decontamination.contaminated(odd, bench.limit(0)).count() == 0
+    assert decontamination.decontaminate(odd, bench).columns == odd.columns
+
+
+def labels(spark, n=120):
+    bad, good = "you stupid moron and worthless scum", "a calm walk along the river in spring"
+    docs = [(i, f"{bad if i % 2 else good} number {i}", "en", "s", 0, "x", "y") for i in range(n)]
+    return spark.createDataFrame(docs, DOCS), spark.createDataFrame([(i, 1 - i % 2, i % 2) for i in range(n)], "doc_id bigint, quality int, toxic int")
+
+
+def test_toxicity(spark, odd, none):
+    docs, marks = labels(spark)
+    got = toxicity.score_documents(docs, marks).collect()
+    held = [r for r in got if r["held_out"]]
+    assert held and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
+    assert sum((r["score"] > 0.5) == bool(r["doc_id"] % 2) for r in held) >= 0.95 * len(held)
+    rows = toxicity.score_documents(odd, marks).collect()
+    assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 for r in rows)
+    assert all(r["score"] == 0 for r in toxicity.score_documents(odd, marks.limit(0)).collect())
+    assert toxicity.score_documents(none, marks).count() == 0
+    kept = toxicity.drop_toxic(docs.unionByName(odd), marks)
+    assert kept.columns == docs.columns
+
+
+def accuracy(rows, want, key):
+    held = [r for r in rows if r["held_out"] and r["doc_id"] in want]
+    return sum(key(r) == want[r["doc_id"]] for r in held) / len(held)
+
+
+def test_quality(spark, odd, none, tables):
+    _, marks = labels(spark)
+    assert len(quality.score_documents(odd, marks).collect()) == len(ODD) and quality.score_documents(none, marks).count() == 0
+    want = {r["doc_id"]: r["quality"] for r in tables("labels").collect()}
+    assert accuracy(quality.score_documents(tables("documents"), tables("labels")).collect(), want, lambda r: r["predicted"]) > 0.95
+
+
+def test_language(spark, odd, none, tables):
+    by = {r["doc_id"]: r["lang_pred"] for r in language.identify(odd).collect()}
+    assert by[1] == by[2] == by[3] == "und" and by[7] in ("en", "de") and language.identify(none).count() == 0
+    docs = tables("documents")
+    assert accuracy(language.identify(docs).collect(), {r["doc_id"]: r["lang"] for r in docs.collect()}, lambda r: r["lang_pred"]) > 0.95
+
+
+def test_urls(spark):
+    cases = {
+        "http://a.com/x": ("a.com", "/x", "com/", "allow"), "http://EXAMPLE.com/en/1?q#f": ("example.com", "/en/1", "example.com/en/", "block"),
+        "https://www.example.com/en/": ("www.example.com", "/en/", "www.example.com/en/", "allow"), "http://x.net/es/1": ("x.net", "/es/1", "net/es/", "block"),
+        "http://anet/es/1": ("anet", "/es/1", None, None), "no scheme": ("", "", None, None), None: ("", "", None, None), "": ("", "", None, None), "x://y.com": ("y.com", "", None, None),
+    }
+    df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(cases)], "page_id bigint, url string, host string")
+    for r, (u, w) in zip(sorted(urls.judge(df).collect(), key=lambda r: r["page_id"]), cases.items()):
+        assert (r["host"], r["path"], r["rule"]) == w[:3], u
+        assert r["verdict"] == w[3] if w[3] else r["verdict"] in ("allow", "block")
+    model = urls.train([(f"http://good{i}.org/news/{i}", 0) for i in range(60)] + [(f"http://casino{i}.biz/win/{i}", 1) for i in range(60)])
+    assert model.difference("http://casino999.biz/win/1") > model.threshold > model.difference("http://good999.org/news/1")
+    assert urls.judge(df.limit(0)).count() == 0
+
+
+def test_media(spark, odd, none):
+    got = media.document_media(odd).collect()
+    assert len(got) == len(ODD) and media.document_media(none).count() == 0
+    text = {d[0]: d[1] or "" for d in ODD}
+    for r in got:
+        raw = text[r["doc_id"]].encode()
+        payload = raw + bytes((-len(raw)) % 64 or (0 if raw else 64))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+    for data in (bytes(64), os.urandom(6400)):
+        assert media.from_png(media.to_png(data)) == data
+    page = "<h1>T</h1><p>one <b>two</b></p><figure><figcaption>says &amp; so</figcaption><img data-digest='d1'></figure><script>no</script><img src='sha256:d2' alt='alt'>end"
+    assert [(e["kind"], e["text"], e["digest"], e["caption"]) for e in media.parse(page)] == [("text", "T", None, None), ("text", "one two", None, None), ("image", None, "d1", "says & so"), ("image", None, "d2", "alt"), ("text", "end", None, None)]
+    seq = media.interleave(spark.createDataFrame([(1, page), (2, None)], "k int, html string"), ["k"])
+    found = media.resolve(seq, spark.createDataFrame([("d1", bytearray(b"x"))], "digest string, media binary")).orderBy("position").collect()
+    assert [r["position"] for r in found] == [0, 1, 2, 3, 4] and bytes(found[2]["media"]) == b"x" and found[3]["media"] is None
+
+
+def test_secrets(spark, odd, none):
+    secret = "AKIA" + "SJDZWJNP6ZRYWK44"
+    texts = [f"the key {secret} here", "password=b7db7aa4a5fcc78305 and more", 'token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae" x', "call 5693240340017844 or see http://x.com/img/2024/abc123def456.jpg", "mark \ue000 and \ue000\ue001 stay 123456789012345", "nothing"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), "x", "y") for i, t in enumerate(texts)], DOCS)
+    found = {(r["doc_id"], r["value"]) for r in secrets.scan(docs).collect() if r["is_secret"]}
+    assert found == {(0, secret), (1, "b7db7aa4a5fcc78305"), (2, "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae")}
+    clean = {r["doc_id"]: r for r in secrets.redact(docs).collect()}
+    assert clean[0]["text"] == "the key [SECRET] here" and clean[0]["n_chars"] == 21 and [clean[i]["text"] for i in (3, 4, 5)] == texts[3:]
+    assert sorted(map(str, secrets.redact(odd).collect())) == sorted(map(str, odd.collect())) and secrets.scan(none).count() == 0
+    made = secrets.Findings(77).rows(400)
+    df = spark.createDataFrame([(i, a + c + b) for i, (a, c, b, _) in enumerate(made)], "doc_id bigint, text string")
+    hit = {r["doc_id"] for r in secrets.scan(df).collect() if r["is_secret"]}
+    assert sum((i in hit) == bool(y) for i, (_, _, _, y) in enumerate(made)) > 0.93 * len(made)
+
+
+def test_extraction(spark, tables):
+    odd = spark.createDataFrame([(1, "u", None), (2, "u", ""), (3, "u", "<p>un<b>closed"), (4, "u", "<"), (4, "u", "<")], "page_id bigint, url string, html string")
+    assert len(extraction.extract(odd).collect()) == 5 and extraction.extract(odd.limit(0)).count() == 0
+    page = "<html><head><title>t</title></head><body><nav><a href=x>Home</a></nav><article><h1>A &lt;title&gt;</h1><p>Some  text<br>here, and more of it.</p><div class='comments'><p>nice post</p></div></article><footer>&copy; me</footer></body></html>"
+    assert extraction.extract_many([page], extraction.model()) == ["A <title> Some text here, and more of it."]
+    rows, got = tables("pages").collect(), {r["page_id"]: r["text"] for r in extraction.extract(tables("pages")).collect()}
+    same = 0
+    for r in rows:
+        inner = re.sub(r"<[^>]*$", "", re.search(r"<article>(.*?)(</article>|$)", r["html"], re.S)[1])
+        same += got[r["page_id"]] == " ".join(html.unescape(re.sub(r"</?(?:p|h1|br)[^>]*>", " ", inner).replace("<b>", "").replace("</b>", "")).split())
+    assert same >= 0.98 * len(rows)
+
+
+def test_pipeline(spark, tables, odd):
+    import corpus_pipeline as p
+
+    docs = tables("documents").limit(150)
+    for name, stage in p.STAGES:
+        out = stage(spark, docs.unionByName(odd.select(*docs.columns)) if name == "toxicity" else docs, SF)
+        if name != "mixing":
+            assert out.columns == docs.columns
+            docs = spark.createDataFrame(out.collect(), docs.schema)
+    assert out.count() == docs.count() and p.run(spark, SF).count() > 500
