@@ -2,9 +2,10 @@
 
 Sets are 64-bit hashes. Tiles are banded by size: a class of sizes cuts the hash space into p equal segments, with p so large that
 two linked sets of the class cannot differ in every segment that is not empty; so they have a segment with the same content, and
-tiles, named by class, segment and content, bring every linked pair together. Small sets meet by pairs of their rarest members. In a tile each set meets its first; those that
-end in different components then meet each other. A pair is bounded from above by bit counts of hashed bitmaps, whose length
-follows the size, before the exact intersection of sorted arrays. Sets that are equal are one from the start.
+tiles, named by class, segment and content, bring every linked pair together. Small sets meet by pairs of their rarest members. Each set
+first meets the busiest set of its tiles. Members of a tile that are still in different components then meet in blocks: a task holds
+two blocks and compares their hashed bitmaps, whose length follows the size; bit counts bound the overlap from above, and only pairs
+that may link become rows, for the exact intersection of sorted arrays. Sets that are equal are one from the start.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import components, cut, drop_table, fresh, write_table
 
 WORDS, THRESHOLD = 5, 80
+#: Members of a block, about; a task compares two blocks at a time.
+BLOCK = 256
 #: Ids up to which a side is broadcast; beyond it the same join is shuffled.
 BROADCAST_ROWS = 500_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -134,8 +137,8 @@ def keys_of(s: np.ndarray, threshold: int, often: np.ndarray | None = None) -> n
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """A power of two of bits, at least twice the set, hashed from its members."""
-    bits = 1 << max(7, int(2 * len(s) - 1).bit_length())
+    """A power of two of bits, at least four times the set, hashed from its members."""
+    bits = 1 << max(7, int(4 * len(s) - 1).bit_length())
     on = np.zeros(bits, np.uint8)
     on[(s * _B) >> np.uint64(64 - bits.bit_length() + 1)] = 1
     return np.packbits(on).tobytes()
@@ -229,6 +232,110 @@ def kept(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", how)
 
 
+def leaders(hits: DataFrame) -> DataFrame:
+    """(a, b), a < b: each set with one partner, the one that leads most of its tiles. A tile is led by its busiest set, the one
+    with most company in all its tiles: in a group of near copies that is the least altered, to which most others link."""
+    busy = hits.groupBy("id").agg(F.sum("c").alias("busy"))
+    lead = hits.join(busy, "id").groupBy("key").agg(F.max_by("id", F.struct("busy", -F.col("id"))).alias("lead"))
+    met = hits.join(lead, "key").where(F.col("id") != F.col("lead")).select("id", "lead")
+    often = met.repartition("id").groupBy("id", "lead").count()
+    one = often.groupBy("id").agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("lead"))
+    return one.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+
+
+def cells(at: DataFrame) -> DataFrame:
+    """key, id, component, block, cell (low, high): the pairs of blocks a tile's member takes part in. Rows of `at`: key, id, component.
+
+    A tile of one component has nothing to compare. In the others the largest component's members need not meet each other, so
+    blocks of the rest meet each other and the blocks of the largest.
+    """
+    part = at.groupBy("key", "component").agg(F.count("*").alias("n"))
+    tile = part.groupBy("key").agg(
+        F.max_by("component", F.struct("n", -F.col("component"))).alias("home"), F.sum("n").alias("n"), F.max("n").alias("at_home"), F.count("*").alias("parts")
+    )
+    tile = tile.where(F.col("parts") > 1).select("key", "home", F.ceil((F.col("n") - F.col("at_home")) / BLOCK).alias("others"), F.ceil(F.col("at_home") / BLOCK).alias("homes"))
+    home, h = F.col("component") == F.col("home"), F.xxhash64("id")
+    block = F.when(home, F.col("others") + F.pmod(h, F.col("homes"))).otherwise(F.pmod(h, F.col("others")))
+    partners = F.sequence(F.lit(0).cast("long"), F.when(home, F.col("others") - 1).otherwise(F.col("others") + F.col("homes") - 1))
+    pair = F.transform(partners, lambda k: F.struct(F.least(k, F.col("block")).alias("low"), F.greatest(k, F.col("block")).alias("high")))
+    return at.join(tile, "key").withColumn("block", block).select("key", "id", "component", "block", pair.alias("cells"))
+
+
+def may_link(n: np.ndarray, component: np.ndarray, bits: list[bytes], left: np.ndarray, right: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs, of one of `left` and one of `right`, that are in different components and whose bounds let them link."""
+    length = np.array([len(x) for x in bits])
+    size = int(length.min())
+    rows = []
+    for x in bits:  # to one length: neighbouring bits of the longer fall together
+        y = np.frombuffer(x, np.uint8)
+        rows.append(y if len(x) == size else np.packbits(np.unpackbits(y).reshape(size * 8, -1).max(1)))
+    m = np.stack(rows).view(np.uint64)
+    ones, out = np.bitwise_count(m).sum(1, dtype=np.int64), []
+    for i in left:
+        k = right[component[right] != component[i]]
+        k = k[(n[i] * 100 >= n[k] * threshold) & (n[k] * 100 >= n[i] * threshold)]
+        if len(k):
+            both = np.bitwise_count(m[k] & m[i]).sum(1, dtype=np.int64)
+            most = np.minimum(n[i] - ones[i] + both, n[k] - ones[k] + both)
+            k = k[most * (100 + threshold) >= threshold * (n[i] + n[k])]
+            if len(k):
+                out.append((np.full(len(k), i), k))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+
+def near_pairs(at: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
+    """(a, b), a < b: the pairs that share a tile, are in different components, and pass the bound. Each pair of blocks is compared in
+    the task it is dealt to; a task holds one pair of blocks at a time."""
+
+    @F.pandas_udf("n long, bits binary")
+    def sketch(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t, words) for t in texts]
+        return pd.DataFrame({"n": [len(s) for s in sets], "bits": [bitmap(s) for s in sets]}, columns=["n", "bits"])
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def found(rows: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
+            ids, comp, n = rows["id"].to_numpy(), rows["component"].to_numpy(), rows["n"].to_numpy()
+            block, low, high, bits = rows["block"].to_numpy(), rows["low"].to_numpy(), rows["high"].to_numpy(), rows["bits"].tolist()
+            a, b = [], []
+            for s, e in zip(starts, ends):
+                if e - s < 2 or (comp[s:e] == comp[s]).all():
+                    continue
+                every = np.arange(e - s)
+                if low[s] == high[s]:
+                    left = right = every
+                else:
+                    left, right = every[block[s:e] == low[s]], every[block[s:e] == high[s]]
+                if len(left) and len(right):
+                    x, y = may_link(n[s:e], comp[s:e], bits[s:e], left, right, threshold)
+                    a.append(ids[s:e][x])
+                    b.append(ids[s:e][y])
+            if not a:
+                return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+            x, y = np.concatenate(a), np.concatenate(b)
+            return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
+
+        left_over = None
+        for batch in batches:
+            rows = batch if left_over is None else pd.concat([left_over, batch], ignore_index=True)
+            k, lo, hi = (rows[c].to_numpy() for c in ("key", "low", "high"))
+            starts = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]) if len(rows) else np.zeros(0, np.int64)
+            if len(starts) > 1:
+                yield found(rows, starts[:-1], starts[1:])
+            left_over = rows.iloc[starts[-1] :] if len(starts) else None
+        if left_over is not None:
+            yield found(left_over, np.array([0]), np.array([len(left_over)]))
+
+    open_ = cut(cells(at))
+    ids = open_.select(F.col("id").alias("doc_id")).distinct()
+    texts = kept(docs.select("doc_id", "text"), ids).groupBy("doc_id").agg(F.min("text").alias("text"))
+    sketches = texts.select(F.col("doc_id").alias("id"), sketch("text").alias("s")).select("id", "s.*")
+    dealt = open_.join(sketches, "id").select("key", "id", "component", "block", "n", "bits", F.explode("cells").alias("cell")).select("*", "cell.low", "cell.high").drop("cell")
+    dealt = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return dealt.mapInPandas(compare, "a long, b long").distinct()
+
+
 def classes(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of `docs`; component_id is the smallest id reachable by links.
 
@@ -244,24 +351,17 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) ->
     copies = named.where(F.col("doc_id") != F.col("rep")).select("doc_id")
     first = kept(docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text"), copies, "left_anti")
     w = Window.partitionBy("key")
-    met = tile_rows(first, words, threshold, frequencies(rows)).withColumn("low", F.min("id").over(w)).withColumn("high", F.max("id").over(w))
-    hits, path = write_table(met.where(F.col("low") < F.col("high")).select("key", "id", "low"))
-    # each set meets the first of its tiles
-    pairs = cut(hits.where(F.col("id") != F.col("low")).groupBy("id").agg(F.min("low").alias("a")).select("a", F.col("id").alias("b")))
+    met = tile_rows(first, words, threshold, frequencies(rows))
+    met = met.withColumn("low", F.min("id").over(w)).withColumn("high", F.max("id").over(w)).withColumn("c", F.count("*").over(w))
+    hits, path = write_table(met.where(F.col("low") < F.col("high")).select("key", "id", "c"))
+    pairs = cut(leaders(hits))
     links = cut(verified(pairs, docs, words, threshold))
     comp = cut(components(links))
-    # sets of one tile that are still apart: every pair of them across components, unless their sizes already rule it out
-    sizes = rows.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
+    # sets of one tile that are still apart
     few = comp.count() <= BROADCAST_ROWS
-    at = hits.select("key", "id").join(F.broadcast(comp) if few else comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_keys = at.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where(F.col("c0") < F.col("c1")).select("key")
-    apart = cut(at.join(open_keys, "key", "left_semi").join(sizes, "id").distinct())
+    at = hits.select("key", "id").distinct().join(F.broadcast(comp) if few else comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    more = cut(near_pairs(at, docs, words, threshold).join(pairs, ["a", "b"], "left_anti"))
     drop_table(spark, path)
-    x = apart.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = apart.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    near = (F.col("na") * 100 >= F.col("nb") * threshold) & (F.col("nb") * 100 >= F.col("na") * threshold)
-    more = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b").distinct()
-    more = cut(more.join(pairs, ["a", "b"], "left_anti"))
     if more.count():
         comp = cut(components(links.union(verified(more, docs, words, threshold))))
     # a component's smallest representative is its smallest member, for a representative is the smallest of its copies
