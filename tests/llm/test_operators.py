@@ -131,6 +131,21 @@ def test_similarity(spark, odd, none):
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similarity.classes(df, k, t).collect()} == brute_classes(texts, k, t)
 
 
+def test_similarity_of_a_large_group_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 8)
+    rng, base = np.random.default_rng(3), [f"b{i}" for i in range(150)]
+    texts = []
+    for i in range(160):  # most are linked through the least altered, some with a few others, some with none
+        w = list(base)
+        for j in rng.integers(0, 150, int(rng.integers(0, 9))):
+            w[int(j)] = f"x{rng.integers(10**6)}"
+        texts.append((i, " ".join(w)))
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    want = brute_classes(texts, 4, 85)
+    assert 5 < len({c for _, c in want.values()}) < 155
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similarity.classes(df, 4, 85).collect()} == want
+
+
 def test_bound_holds():
     rng = np.random.default_rng(1)
     for _ in range(50):
