@@ -26,6 +26,8 @@ from .common import components, cut, drop_table, fresh, write_table
 WORDS, THRESHOLD = 5, 80
 #: Members of a block, about; a task compares two blocks at a time.
 BLOCK = 256
+#: Up to so many rows a pair of blocks is compared pair by pair, without the arrays.
+FEW = 6
 #: Ids up to which a side is broadcast; beyond it the same join is shuffled.
 BROADCAST_ROWS = 500_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -146,12 +148,14 @@ def bitmap(s: np.ndarray) -> bytes:
 
 def bound(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
     """No intersection is larger: each bit that one side alone has set stands for a member the other lacks."""
+    if len(a) == len(b):
+        x, y = int.from_bytes(a), int.from_bytes(b)
+        both = (x & y).bit_count()
+        return min(n_a - x.bit_count(), n_b - y.bit_count()) + both
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
     if len(x) > len(y):
         x, y, n_a, n_b = y, x, n_b, n_a
-    if len(x) < len(y):  # the longer bitmap's neighbouring bits fall together in the shorter
-        f = len(y) // len(x)
-        y = np.packbits(np.unpackbits(y).reshape(-1, f).max(1))
+    y = np.packbits(np.unpackbits(y).reshape(len(x) * 8, -1).max(1))  # the longer bitmap's neighbouring bits fall together
     return int(min(n_a - np.bitwise_count(x & ~y).sum(), n_b - np.bitwise_count(y & ~x).sum()))
 
 
@@ -299,7 +303,15 @@ def near_pairs(at: DataFrame, docs: DataFrame, words: int, threshold: int) -> Da
             ids, comp, n = rows["id"].to_numpy(), rows["component"].to_numpy(), rows["n"].to_numpy()
             block, low, high, bits = rows["block"].to_numpy(), rows["low"].to_numpy(), rows["high"].to_numpy(), rows["bits"].tolist()
             a, b = [], []
-            for s, e in zip(starts, ends):
+            sizes, comps = n.tolist(), comp.tolist()
+            for s, e in zip(starts.tolist(), ends.tolist()):
+                if e - s <= FEW and low[s] == high[s]:
+                    for i, j in combinations(range(s, e), 2):
+                        if comps[i] != comps[j] and sizes[i] * 100 >= sizes[j] * threshold and sizes[j] * 100 >= sizes[i] * threshold:
+                            if (100 + threshold) * bound(bits[i], sizes[i], bits[j], sizes[j]) >= threshold * (sizes[i] + sizes[j]):
+                                a.append(ids[i : i + 1])
+                                b.append(ids[j : j + 1])
+                    continue
                 if e - s < 2 or (comp[s:e] == comp[s]).all():
                     continue
                 every = np.arange(e - s)
