@@ -187,8 +187,8 @@ def set_rows(docs: DataFrame, words: int) -> DataFrame:
 def frequencies(rows: DataFrame) -> np.ndarray:
     """How many small sets have a member in each slot: at most 2^SLOT_BITS counts come to the driver, from all rows."""
     out = np.zeros(1 << SLOT_BITS, np.int64)
-    for r in rows.select(F.explode("slots").alias("slot")).groupBy("slot").count().toLocalIterator():
-        out[r["slot"]] = r["count"]
+    for slot, n in rows.select(F.explode("slots").alias("slot")).groupBy("slot").count().collect():
+        out[slot] = n
     return out
 
 
