@@ -114,13 +114,13 @@ def train(samples: list[tuple[str, int]], steps: int = 36, seed: int = 7) -> Mod
     parts = [[grams.setdefault(g, len(grams)) for g in pieces(w)] for w in vocab]
     sizes = np.array([len(p) for p in parts])
     flat, w_of = np.array([g for p in parts for g in p], dtype=np.int64), np.repeat(np.arange(len(parts)), sizes)
-    # the documents that hold each n-gram
-    doc_word = np.unique(tok * len(samples) + doc_of[win_of])
-    first = np.r_[0, np.cumsum(sizes)]
-    of_word = doc_word // len(samples)
-    spread = np.repeat(first[of_word], sizes[of_word]) + (np.arange(sizes[of_word].sum()) - np.repeat(np.r_[0, np.cumsum(sizes[of_word])[:-1]], sizes[of_word]))
-    pairs = np.unique(flat[spread] * len(samples) + np.repeat(doc_word % len(samples), sizes[of_word]))
-    held = np.bincount(pairs // len(samples), minlength=len(grams))
+    # the documents that hold each n-gram, one document at a time: all pairs at once would fill the driver
+    first, tok_doc = np.r_[0, np.cumsum(sizes)], doc_of[win_of]
+    held = np.zeros(len(grams), np.int64)
+    for of_doc in np.split(tok, np.flatnonzero(tok_doc[1:] != tok_doc[:-1]) + 1):
+        ws = np.unique(of_doc)
+        n = sizes[ws]
+        held[np.unique(flat[np.repeat(first[ws] - np.cumsum(n) + n, n) + np.arange(n.sum())])] += 1
     known = held >= max(2, LEAST_SHARE * len(samples))
     new_id = np.cumsum(known) - 1
     keep = known[flat]
