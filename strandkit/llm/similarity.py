@@ -18,7 +18,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, drop_table, fresh, write_table
@@ -362,10 +362,11 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) ->
     named = cut(some.join(member, ["d1", "d2"]).select("doc_id", "rep").distinct())
     copies = named.where(F.col("doc_id") != F.col("rep")).select("doc_id")
     first = kept(docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text"), copies, "left_anti")
-    w = Window.partitionBy("key")
-    met = tile_rows(first, words, threshold, frequencies(rows))
-    met = met.withColumn("low", F.min("id").over(w)).withColumn("high", F.max("id").over(w)).withColumn("c", F.count("*").over(w))
-    hits, path = write_table(met.where(F.col("low") < F.col("high")).select("key", "id", "c"))
+    # tiles with company: counted first, then joined, so that a tile of very many sets is pre-aggregated and its rows can be split
+    tiles, tiles_path = write_table(tile_rows(first, words, threshold, frequencies(rows)))
+    shared = tiles.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > 1)
+    hits, path = write_table(tiles.join(shared, "key").select("key", "id", "c"))
+    drop_table(spark, tiles_path)
     pairs = cut(leaders(hits))
     links = cut(verified(pairs, docs, words, threshold))
     comp = cut(components(links))
