@@ -1,7 +1,7 @@
 """Secret scans, with DataFrame functions only: a random forest over candidates, which removes the false positives.
 
-A candidate is a run of key characters (letters, digits, + / _ -) of twelve or more with a digit in it, or a value of eight or more
-after a word such as password. Features: length, shares and transitions of character classes, distinct characters, coverage by a
+A candidate is a run of key characters (letters, digits, + / _ -) of twelve or more with a digit in it, one that starts as a known
+key does, whatever its digits, or a value of eight or more after a word such as password, with or without a sign and quotes. Features: length, shares and transitions of character classes, distinct characters, coverage by a
 dictionary of common letter groups, known key forms, paths and URLs around it, and neighbouring words. The forest learns from
 labelled findings, by default generated ones, on the driver, and runs as SQL conditions. No text leaves its row.
 """
@@ -17,15 +17,25 @@ from pyspark.sql import functions as F
 from .common import fresh
 
 _RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{12})[A-Za-z+/_-]*+[0-9][A-Za-z0-9+/_-]*+={0,2}"
-_VALUE = r"(?<=(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|PASSWORD|SECRET|TOKEN|[Aa]pi[_-][Kk]ey)[=:]{1,2}[\"']{0,1})(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_!@#$%^&*-]{8})[A-Za-z0-9+/_!@#$%^&*-]++"
-CANDIDATE = f"{_VALUE}|{_RUN}"
+#: How known keys start.
+_PREFIX = "AKIA|ASIA|ghp_|gho_|ghs_|glpat-|xox[abps]-|sk_live_|sk-|rk_live_|AIza|eyJ|npm_|hf_"
+_KNOWN = f"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{{12}})(?:{_PREFIX})[A-Za-z0-9+/_-]++={{0,2}}"
+#: A word that announces a secret, with a part after it as in secret_key, passwordHash or tokens. Bounded, for a look-behind.
+_KEYWORD = "(?:(?i:password|passwd|passphrase|secret|token|(?:api|access|private)[ _-]?key|credential|bearer|pwd|(?<![a-z])(?:pass|o?auth))(?:(?i:s)|(?i:[ _-]?key)|[_-][A-Za-z0-9_-]{1,12}|[A-Z][A-Za-z0-9]{1,12})?)"
+_SIGN = "[\"']?(?:\\s{0,3}(?:[:=]{1,2}|=>)\\s{0,3}|\\s{1,3}(?i:is)\\s{1,3}|\\s{1,3})[\"']?"
+#: The first look-behind is a cheap test that spares most places the second.
+_VALUE = f"(?<=[\\s=:>\"'])(?=[A-Za-z0-9+/_!@#$%^&*-]{{8}})(?<={_KEYWORD}{_SIGN})[A-Za-z0-9+/_!@#$%^&*-]++"
+CANDIDATE = f"{_VALUE}|{_KNOWN}|{_RUN}"
 #: Marks around candidates: private-use characters. One that the text holds itself is escaped, so nothing is lost.
 _MARK, _CUT, _ESC = "\ue000", "\ue000\ue001", "\ue000\ue002"
 #: Fixed letter groups of common words of English, German, French and Spanish.
 DICTIONARY = "the and ing tion ent ation for ere her ter hat tha ate ver all ons est ith ment section page image user file data name test part item order der die und ein ich sch den ung che gen eau que les des ous ais eur pour dans una los las por con del ado ente aci able ness ight word line text article chapter version report table index".split()
 _GROUPS = "(?:" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))) + ")"
 MASK = "[SECRET]"
-NAMES = ["length", "digits", "uppers", "lowers", "marks", "transitions", "distinct", "dictionary", "hex", "known", "uuid", "date", "number", "slashes", "in_path", "extension", "assigned", "secret_word", "benign_word", "quoted", "repeats"]
+#: Words of generated passwords, and words that follow a word such as password in plain prose.
+WORDS = "correct horse battery staple summer winter dragon monkey hunter shadow silver orange purple river mountain coffee guitar planet rocket tiger welcome admin letme master secure falcon wizard pepper cookie island".split()
+PLAIN = "required protected authentication management everything something agreement incorrect different generated manager-based validation forgotten available reset-link ingredient recovery economics necessary important published encryption parameter passwords sommerhaus immediately Everything Something Required".split()
+NAMES = ["length", "digits", "uppers", "lowers", "marks", "transitions", "distinct", "dictionary", "hex", "known", "uuid", "date", "number", "slashes", "in_path", "extension", "assigned", "secret_word", "benign_word", "quoted", "repeats", "sign", "placeholder"]
 
 
 def features(c: Column, left: Column, right: Column) -> Column:
@@ -38,6 +48,7 @@ def features(c: Column, left: Column, right: Column) -> Column:
     def flag(b: Column) -> Column:
         return F.coalesce(b, F.lit(False)).cast("double")
 
+    wide = F.right(left, F.lit(60))
     tail, near, front = F.lower(F.substring(F.right(left, F.lit(60)), 1, 60)), F.lower(F.right(left, F.lit(28))), F.left(right, F.lit(12))
     return F.array(
         n,
@@ -49,18 +60,20 @@ def features(c: Column, left: Column, right: Column) -> Column:
         F.size(F.array_distinct(F.split(c, ""))) / n,
         F.lit(1.0) - F.length(F.regexp_replace(F.lower(c), _GROUPS, "")) / n,
         flag(c.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")),
-        flag(c.rlike("^(?:AKIA|ASIA|ghp_|gho_|ghs_|glpat-|xox[abps]-|sk_live_|sk-|rk_live_|AIza|eyJ|npm_|hf_)")),
+        flag(c.rlike(f"^(?:{_PREFIX})")),
         flag(c.rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$")),
         flag(c.rlike("^[0-9]{4}[-/][0-9]{1,2}[-/]")),
         flag(c.rlike("^[0-9+/_-]+$")),
         count("/"),
         flag(near.rlike("(?:/|://|\\\\|www\\.)[^\\s]*$")),
         flag(front.rlike("^\\.[a-z]{2,4}")),
-        flag(near.rlike("(?:pass(?:word|wd|phrase)?|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|credentials?|auth|bearer|pwd)[\"']?\\s*(?:[=:]|is)*\\s*[\"']?$")),
+        flag(wide.rlike(f"{_KEYWORD}{_SIGN}$")),
         flag(tail.rlike("pass(?:word|wd)|secret|token|api[ _-]?key|credential|private key|bearer")),
         flag(near.rlike("(?:sha-?[0-9]*|md5|commit|checksum|digest|uuid|guid|isbn|doi|order|invoice|phone|tel|build|version|rev|etag|id|hash|ref|iban|card)[\"']?\\s*[=:#]?\\s*[\"']?$")),
         flag(F.right(left, F.lit(1)).isin('"', "'")),
         count("(.)\\1"),
+        F.when(near.rlike("=>?\\s*[\"']?$"), 3.0).when(near.rlike(":\\s*[\"']?$"), 2.0).when(near.rlike("\\sis\\s+[\"']?$"), 1.0).otherwise(0.0),
+        flag(c.rlike("example|change|your|placeholder|dummy|sample|undefined|required|x{4}|0{8}")),
     )
 
 
@@ -95,9 +108,24 @@ class Findings:
     def secret(self) -> tuple[str, str, str]:
         up, low, dig, hexa = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
         every, n = up + low + dig, lambda a, b: int(self.r.integers(a, b))
-        key = self.one("password", "passwd", "secret", "token", "api_key", "api-key", "access_key", "secret_key", "auth_token", "client_secret", "API_KEY", "pwd", "Token", "bearer")
-        sign, q = self.one("=", ": ", " = ", ":", " := "), self.one('"', "'", "")
-        kind = n(0, 8)
+        key = self.one("password", "passwd", "secret", "token", "api_key", "api-key", "access_key", "secret_key", "auth_token", "client_secret", "API_KEY", "pwd", "Token", "bearer", "passphrase", "DB_PASSWORD", "private_key", "secretKey", "credentials", "Password")
+        sign, q = self.one("=", ": ", " = ", ":", " := ", " => "), self.one('"', "'", "")
+        kind = (0, 1, 2, 3, 4, 5, 6, 7, 8, 8, 8, 8, 9, 9, 9, 10)[n(0, 16)]
+        if kind in (1, 2, 8, 9):
+            if self.r.random() < 0.15:
+                key, sign = self.one('"', "'") + key, self.one('": ', '" : ', "': ")
+            elif self.r.random() < 0.1:
+                key, sign = self.one(key, "Bearer"), self.one(" ", " is ")
+        if kind == 8:
+            cap = self.one(*WORDS).capitalize() if n(0, 3) == 0 else self.one(*WORDS)
+            many = self.of("!@#$%^&*_-", n(1, 3)) + self.of(dig, n(1, 5))
+            c = self.one(cap + many, cap + self.of(dig, n(1, 4)) + self.of("!@#$%^&*", n(1, 3)), cap[:2] + "@" + cap[2:] + many, self.of(every + "!@#$%^&*", n(8, 17)))
+            return self.prose() + key + sign + q, (c + self.of("!@#$%", 8))[: max(8, len(c))], q + " " + self.prose()
+        if kind == 9:
+            c = self.one("".join(self.one(*WORDS) for _ in range(n(2, 5))), "-".join(self.one(*WORDS) for _ in range(n(3, 5))), self.of(up + low, n(10, 30)), self.of(low, n(10, 30)))
+            return self.prose() + key + self.one("=", " = ", ":", ": ") + q, (c + self.of(low, 14))[: max(14, len(c))], q + " " + self.prose()
+        if kind == 10:
+            return self.prose() + q, self.one("AKIA" + self.of(up, 16), "ASIA" + self.of(up, 16), self.one("ghp_", "gho_") + self.of(up + low, 36), self.one("sk_live_", "sk-", "npm_", "hf_") + self.of(up + low, n(20, 44))), q + " " + self.prose()
         if kind == 0:
             return self.prose() + self.one("", "", "key "), self.one("AKIA", "ASIA") + self.of(up + "234567" + dig, 16), " " + self.prose()
         if kind == 1:
@@ -116,7 +144,14 @@ class Findings:
 
     def harmless(self) -> tuple[str, str, str]:
         hexa, dig, n = "0123456789abcdef", "0123456789", lambda a, b: int(self.r.integers(a, b))
-        kind = n(0, 11)
+        kind = n(0, 14)
+        if kind == 11:
+            key = self.one("password", "Password", "secret", "The secret", "token", "tokens", "access key", "API key", "bearer", "credentials", "private key", "auth", "passphrase")
+            return self.prose() + key + self.one(" ", " ", " is ", ": ", ":"), self.one(*PLAIN), self.one(" ", ". ", ", ") + self.prose()
+        if kind == 12:
+            return self.prose() + self.one("password", "token", "api_key", "secret", "API_KEY", "pwd") + self.one("=", ": ", " = ", '": "'), self.one("changeme", "placeholder", "required", "undefined", "your-password", "example-token", "YOUR_API_KEY", "********", "xxxxxxxxxx", "dummyvalue", "sample-secret"), self.one(" ", '" ', ", ") + self.prose()
+        if kind == 13:
+            return self.prose(), self.one("sk-", "hf_", "npm_") + self.one("-", "_").join(self.one(*WORDS) for _ in range(n(2, 4))), " " + self.prose()
         if kind == 0:
             h = self.of(hexa, 32)
             return self.prose() + self.one("", "id ", "uuid=", "request "), f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}", " " + self.prose()
