@@ -2,7 +2,8 @@
 
 Every word is the mean of the vectors of its character n-grams, word boundaries included; a window of words is the mean of its words; a linear softmax over that mean tells toxic from clean. Table and softmax are trained
 jointly with Adam in numpy on the driver, from a bounded sample. A word never seen, such as a misspelling, is made of n-grams that
-were seen. A document's score is the calibrated score of its most toxic window, so a few words in a very long text still count.
+were seen. Windows overlap and cover the whole word sequence, later uses of a word included; within one a word counts once. A
+document's score is the calibrated score of its most toxic window, so a few words in a very long text still count.
 Since the softmax is linear in the mean, a word adds a fixed number to the logit; workers keep these numbers per word.
 """
 
@@ -21,6 +22,8 @@ from .common import fresh, held_out, labelled_texts
 
 _WORD = re.compile(r"[^\W_]+")
 DIM, WINDOW, PAD, N_LOW, N_HIGH = 4, 10, 4, 3, 5
+#: Words between the starts of two windows: neighbours share the rest, so no edge splits a short cluster.
+STRIDE = 5
 #: Labelled documents that training may see: clean and toxic ones. A fifth of them only set the calibration.
 PER_CLASS = (2000, 900)
 #: Windows of one labelled document that training may see: of a toxic and of a clean one.
@@ -31,8 +34,8 @@ DECAY = 1e-5
 
 
 def words(text: str | None) -> list[str]:
-    """The distinct words of a whole text in the order of their first appearance, so that a word said often counts once."""
-    return list(dict.fromkeys(_WORD.findall(text.lower()))) if text else []
+    """The words of a whole text as they follow each other."""
+    return _WORD.findall(text.lower()) if text else []
 
 
 def pieces(word: str) -> list[str]:
@@ -57,24 +60,25 @@ class Model:
         return sum([get(g, 0.0) for g in grams]) / len(grams)
 
 
-def _windows(n: int) -> list[tuple[int, int]]:
-    """Cuts n words into windows that cover all of them; the last is not a short rest where it can be helped."""
+def _starts(n: int) -> np.ndarray:
+    """Where the windows of n words begin; the last one ends with the text."""
     if n <= WINDOW:
-        return [(0, n)]
-    k = -(-n // WINDOW)
-    edges = [n * i // k for i in range(k + 1)]
-    return list(zip(edges, edges[1:]))
+        return np.zeros(1, np.int64)
+    return np.unique(np.r_[np.arange(0, n - WINDOW, STRIDE), n - WINDOW])
 
 
-def doc_logit(per_word: np.ndarray, bias: float) -> float:
-    """The largest window logit; an empty text has the bias alone."""
-    n = len(per_word)
+def doc_logit(ids: np.ndarray, per_word: np.ndarray, bias: float) -> float:
+    """The largest window logit of a sequence of word ids, given what each id adds; an empty text has the bias alone."""
+    n = len(ids)
     if n == 0:
         return bias
-    k = max(1, -(-n // WINDOW))
-    edges = n * np.arange(k + 1) // k
-    sums = np.add.reduceat(per_word, edges[:-1])
-    return float((sums / (np.diff(edges) + PAD)).max() + bias)
+    size = min(n, WINDOW)
+    again = np.full(n, size)  # how far back the same word was said last, if within a window
+    for lag in range(size - 1, 0, -1):
+        again[lag:][ids[lag:] == ids[:-lag]] = lag
+    at = _starts(n)[:, None] + np.arange(size)
+    once = again[at] > np.arange(size)
+    return float(((per_word[ids][at] * once).sum(1) / (once.sum(1) + PAD)).max() + bias)
 
 
 def _segments(order_key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,12 +100,12 @@ def train(samples: list[tuple[str, int]], steps: int = 36, seed: int = 7) -> Mod
     seq, ends, doc_of = [], [0], []
     for d, (text, label) in enumerate(samples):
         ws = words(text)
-        cuts = _windows(len(ws)) if ws else []
+        cuts = _starts(len(ws)).tolist() if ws else []
         if len(cuts) > PER_DOC[label]:
             cuts = [cuts[i] for i in sorted(rng.choice(len(cuts), PER_DOC[label], replace=False))]
-        for a, b in cuts:
-            seq.append(np.array([vocab.setdefault(w, len(vocab)) for w in ws[a:b]], dtype=np.int64))
-            ends.append(ends[-1] + b - a)
+        for a in cuts:
+            seq.append(np.array([vocab.setdefault(w, len(vocab)) for w in dict.fromkeys(ws[a : a + WINDOW])], dtype=np.int64))
+            ends.append(ends[-1] + len(seq[-1]))
             doc_of.append(d)
     if not seq:
         return None
@@ -175,8 +179,10 @@ def train(samples: list[tuple[str, int]], steps: int = 36, seed: int = 7) -> Mod
 
 
 def model_logit(cache: dict[str, float], text: str | None) -> float:
-    w = words(text)
-    return doc_logit(np.fromiter(map(cache.__getitem__, w), float, len(w)), cache.model.bias)
+    ws = words(text)
+    ids: dict[str, int] = {}
+    seq = np.array([ids.setdefault(w, len(ids)) for w in ws], dtype=np.int64)
+    return doc_logit(seq, np.fromiter(map(cache.__getitem__, ids), float, len(ids)), cache.model.bias)
 
 
 def calibrate(logits: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:

@@ -193,6 +193,28 @@ def test_toxicity(spark, odd, none):
     assert kept.columns == docs.columns
 
 
+def test_toxicity_of_later_passages_and_across_window_edges():
+    model = toxicity.Model({"<b": 0.0}, 0.0, 1.0, 0.0)
+    cache = toxicity._Words(model)
+    bad = [f"bad{i}" for i in range(5)]
+    cache.update({w: 1.0 for w in bad}, **{f"w{i}": 0.0 for i in range(400)})
+    clean = [f"w{i}" for i in range(400)]
+    apart = [w for i in range(5) for w in (bad[i], *clean[20 * i : 20 * i + 20])]  # each abusive word first among clean ones
+
+    def brute(ws):
+        wins = [list(dict.fromkeys(ws[a : a + 10])) for a in toxicity._starts(len(ws))]
+        return max(sum(cache[w] for w in x) / (len(x) + toxicity.PAD) for x in wins)
+
+    low, high = (toxicity.model_logit(cache, " ".join(ws)) for ws in (apart, apart + clean[:7] + bad + clean[:9]))
+    assert high > 2 * low
+    for at in range(40):  # no place of a cluster hides it
+        ws = clean[:at] + bad + clean[at : at + 60]
+        assert toxicity.model_logit(cache, " ".join(ws)) >= 5 / (10 + toxicity.PAD) - 1e-9
+    for n in (1, 3, 10, 11, 47, 300):
+        ws = [clean[i] if i % 3 else bad[i % 5] for i in np.random.default_rng(n).integers(0, 25, n)]
+        assert abs(toxicity.model_logit(cache, " ".join(ws)) - brute(ws)) < 1e-9
+
+
 def accuracy(rows, want, key):
     held = [r for r in rows if r["held_out"] and r["doc_id"] in want]
     return sum(key(r) == want[r["doc_id"]] for r in held) / len(held)
