@@ -26,10 +26,12 @@ DIM, WINDOW, PAD, N_LOW, N_HIGH = 4, 10, 4, 3, 5
 STRIDE = 5
 #: Labelled documents that training may see: clean and toxic ones. A fifth of them only set the calibration.
 PER_CLASS = (2000, 900)
-#: Windows of one labelled document that training may see: of a toxic and of a clean one.
-PER_DOC = (24, 60)
-#: An n-gram gets a vector if this share of the training documents, and two at least, hold it.
-LEAST_SHARE = 0.003
+#: Windows of one clean labelled document that training may see, drawn at random; of a toxic one it sees all.
+PER_DOC = 24
+#: All windows of one document together weigh no more in training than so many.
+LEVEL = 60
+#: An n-gram gets a vector if this many of the training documents hold it.
+LEAST_DOCS = 2
 DECAY = 1e-5
 
 
@@ -101,8 +103,8 @@ def train(samples: list[tuple[str, int]], steps: int = 36, seed: int = 7) -> Mod
     for d, (text, label) in enumerate(samples):
         ws = words(text)
         cuts = _starts(len(ws)).tolist() if ws else []
-        if len(cuts) > PER_DOC[label]:
-            cuts = [cuts[i] for i in sorted(rng.choice(len(cuts), PER_DOC[label], replace=False))]
+        if label == 0 and len(cuts) > PER_DOC:
+            cuts = [cuts[i] for i in sorted(rng.choice(len(cuts), PER_DOC, replace=False))]
         for a in cuts:
             seq.append(np.array([vocab.setdefault(w, len(vocab)) for w in dict.fromkeys(ws[a : a + WINDOW])], dtype=np.int64))
             ends.append(ends[-1] + len(seq[-1]))
@@ -125,7 +127,7 @@ def train(samples: list[tuple[str, int]], steps: int = 36, seed: int = 7) -> Mod
         ws = np.unique(of_doc)
         n = sizes[ws]
         held[np.unique(flat[np.repeat(first[ws] - np.cumsum(n) + n, n) + np.arange(n.sum())])] += 1
-    known = held >= max(2, LEAST_SHARE * len(samples))
+    known = held >= LEAST_DOCS
     new_id = np.cumsum(known) - 1
     keep = known[flat]
     flat_c, w_of = new_id[flat[keep]], w_of[keep]
@@ -140,7 +142,8 @@ def train(samples: list[tuple[str, int]], steps: int = 36, seed: int = 7) -> Mod
     W = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     params, moment, second = [E, W, bias], [np.zeros_like(x) for x in (E, W, bias)], [np.zeros_like(x) for x in (E, W, bias)]
-    weight = np.where(y == 1, len(y) / max(1, 2 * y.sum()), len(y) / max(1, 2 * (1 - y).sum()))
+    part = np.minimum(1.0, LEVEL / np.bincount(doc_of)[doc_of])
+    weight = part * np.where(y == 1, len(y) / max(1, 2 * (part * y).sum()), len(y) / max(1, 2 * (part * (1 - y)).sum()))
     for t in range(1, steps + 1):
         word_vec = np.zeros((len(parts), DIM), np.float32)
         word_vec[w_of[rows]] = np.add.reduceat(E[flat_c], rows, axis=0)
@@ -155,7 +158,7 @@ def train(samples: list[tuple[str, int]], steps: int = 36, seed: int = 7) -> Mod
             top = np.zeros(len(samples))
             np.maximum.at(top, doc_of, p[:, 1])
             keep = (y == 0) | (p[:, 1] >= np.maximum(0.5, 0.9 * top[doc_of])) | (p[:, 1] == top[doc_of])
-            weight = np.where(keep, np.where(y == 1, len(y) / max(1, 2 * (y * keep).sum()), len(y) / max(1, 2 * (1 - y).sum())), 0.0)
+            weight = part * np.where(keep, np.where(y == 1, len(y) / max(1, 2 * (part * y * keep).sum()), len(y) / max(1, 2 * (part * (1 - y)).sum())), 0.0)
         g = ((p - np.stack([1 - y, y], 1)) * (weight / len(y))[:, None]).astype(np.float32)
         g_hidden = (g @ W.T) * inv_len[:, None].astype(np.float32)
         g_word = np.zeros_like(word_vec)

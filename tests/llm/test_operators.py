@@ -215,6 +215,22 @@ def test_toxicity_of_later_passages_and_across_window_edges():
         assert abs(toxicity.model_logit(cache, " ".join(ws)) - brute(ws)) < 1e-9
 
 
+def test_toxicity_learns_from_every_window_of_toxic_documents_and_from_words_of_two_documents():
+    rng = np.random.default_rng(4)
+    plain, rare = [f"calm{i}" for i in range(400)], [chr(97 + i) * 2 + "xqz" for i in range(20)]
+
+    def text(n, *more):
+        ws = [plain[i] for i in rng.integers(0, 400, n)]
+        for w in more:
+            ws.insert(int(rng.integers(0, n)), w)
+        return " ".join(ws)
+
+    # each rare word is said once in two toxic documents of 4000 words, and nowhere else
+    samples = [(text(4000, rare[i], rare[(i + 1) % 20]), 1) for i in range(20)] + [(text(40), 0) for _ in range(700)]
+    model = toxicity.train(samples, steps=4)
+    assert all(f"<{w[:2]}" in model.gram for w in rare)
+
+
 def accuracy(rows, want, key):
     held = [r for r in rows if r["held_out"] and r["doc_id"] in want]
     return sum(key(r) == want[r["doc_id"]] for r in held) / len(held)
