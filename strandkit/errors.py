@@ -1,5 +1,9 @@
 """Errors that callers can tell apart."""
 
+import contextlib
+import re
+from collections.abc import Iterator
+
 
 class ArchiveError(Exception):
     """Base of the archive errors."""
@@ -23,3 +27,28 @@ class BufferOverflow(Exception):
 
 class ChannelClosed(Exception):
     """A write after close."""
+
+
+#: How a plan's own failures begin; Spark hands them back inside errors of its own.
+_TYPES = {c.__name__: c for c in (CorruptArchive, ArchiveAborted, BadEntry, BufferOverflow)}
+_SAID = re.compile(rf"\b({'|'.join(_TYPES)}): ([^\n]*)")
+
+
+def typed(e: BaseException) -> BaseException:
+    """The error that a plan or worker meant where Spark wrapped it; any other error as it is."""
+    if isinstance(e, tuple(_TYPES.values())) or not type(e).__module__.startswith(("pyspark", "py4j")):
+        return e
+    said = _SAID.search(str(e))
+    return _TYPES[said[1]](said[2].strip()) if said else e
+
+
+@contextlib.contextmanager
+def typed_errors() -> Iterator[None]:
+    """Raises what typed() makes of an error of the block, with Spark's as its cause."""
+    try:
+        yield
+    except Exception as e:
+        meant = typed(e)
+        if meant is e:
+            raise
+        raise meant from e

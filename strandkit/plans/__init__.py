@@ -1,3 +1,3 @@
-from .seq import Pipeline, Seq, pipe
+from .seq import Seq, pipe, track
 
-__all__ = ["Pipeline", "Seq", "pipe"]
+__all__ = ["Seq", "pipe", "track"]

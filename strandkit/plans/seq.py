@@ -6,13 +6,15 @@ declarative DataFrame until a sink runs it. `order_by=None` says that the order
 
 from __future__ import annotations
 
-import contextlib
 from collections.abc import Callable
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, Window
 
+from ..errors import typed
+
 
 @dataclass(frozen=True)
 class Seq:
@@ -45,21 +47,23 @@ class Seq:
         return self.with_df(f(self.df))
 
 
-class Pipeline:
-    """What a running pipeline has to clean up: finalizers and streaming queries."""
+#: The streaming queries of the pipelines that are running here, the innermost pipeline last.
+_RUNNING: ContextVar[tuple[list, ...]] = ContextVar("running", default=())
 
-    def __init__(self) -> None:
-        self.stack = contextlib.ExitStack()
 
-    def on_end(self, f: Callable[[], Any]) -> None:
-        self.stack.callback(f)
+def track(query: Any) -> Any:
+    """Hands a streaming query, or anything with stop(), to the pipeline that is running, which stops it when it ends. Returns it.
+    Outside of a pipeline nothing is tracked."""
+    if _RUNNING.get():
+        _RUNNING.get()[-1].append(query)
+    return query
 
 
 def pipe(source: Seq, *stages: Callable) -> Any:
     """Composes transforms and runs the sink, which comes last; returns the sink's value.
 
-    Building the plan runs nothing, so errors of construction surface at once. When the sink ends, fails or stops early, every
-    finalizer runs, those nearest to the sink first. The sink's error is the one that is seen: errors of finalizers are attached
+    Building the plan runs nothing, so errors of construction surface at once. When the sink ends, fails or stops early, the streaming
+    queries it tracked are stopped, then every finalizer runs, those nearest to the sink first. The sink's error is the one that is seen: errors of finalizers are attached
     to it as notes and in `suppressed`; if only finalizers fail, the first of their errors is raised with the others attached.
     """
     if not stages:
@@ -70,12 +74,18 @@ def pipe(source: Seq, *stages: Callable) -> Any:
         seq = t(seq)
     primary: BaseException | None = None
     value = None
+    started: list = []
+    token = _RUNNING.set((*_RUNNING.get(), started))
     try:
         value = sink(seq)
     except BaseException as e:  # noqa: BLE001
-        primary = e
+        primary = typed(e)
+        if primary is not e:
+            primary.__cause__ = e
+    finally:
+        _RUNNING.reset(token)
     others: list[BaseException] = []
-    for f in reversed(seq.finalizers):
+    for f in (*(q.stop for q in reversed(started)), *reversed(seq.finalizers)):
         try:
             f()
         except Exception as e:  # noqa: BLE001

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import lzma
+import os
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import binary, checksum
+from .functions import binary, checksum, codec
 from .operators import ordered as op
 from .plans.seq import Seq, pipe
+from .session import drop_path, shared_dir
 from .sources import memory, zip_read, zip_write
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,7 +69,7 @@ def pipe_map_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT source, doc_id, CAST(sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS bytes_so_far FROM documents""")
 def tap_running_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = memory.from_table(_t(spark, sf_dir, "documents"), ["doc_id"], ["source"])
-    return op.tap(None, {"bytes_so_far": F.sum(F.octet_length("text"))})(s).df.select("source", "doc_id", "bytes_so_far")
+    return op.running_sum("bytes_so_far", F.octet_length("text").cast("bigint"))(s.map(lambda df: df.select("source", "doc_id", "text"))).df.select("source", "doc_id", "bytes_so_far")
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes FROM documents")
@@ -94,6 +98,19 @@ def batch_count_time_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("user_id", "batch_id", "batch_size", F.array_join(F.transform("items", lambda x: x["event_id"]), ",").alias("ids"))
 
 
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT k, event_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY k ORDER BY ts, event_id) AS rn
+ FROM (SELECT CASE WHEN user_id % 5 > 0 THEN user_id + 9007199254740992 END AS k, event_id, ts FROM events)),
+f AS (SELECT k, event_id, rn, CAST(0 AS BIGINT) AS b, CAST(1 AS BIGINT) AS n, ms AS t0 FROM e WHERE rn = 1
+ UNION ALL SELECT e.k, e.event_id, e.rn, CASE WHEN f.n >= 4 OR e.ms >= f.t0 + 600000 THEN f.b + 1 ELSE f.b END, CASE WHEN f.n >= 4 OR e.ms >= f.t0 + 600000 THEN 1 ELSE f.n + 1 END,
+ CASE WHEN f.n >= 4 OR e.ms >= f.t0 + 600000 THEN e.ms ELSE f.t0 END FROM f JOIN e ON e.k IS NOT DISTINCT FROM f.k AND e.rn = f.rn + 1)
+SELECT coalesce(CAST(k AS VARCHAR), 'none') AS k, b AS batch_id, CAST(count(*) AS BIGINT) AS batch_size, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY rn) AS ids FROM f GROUP BY 1, 2""")
+def batch_count_time_wide_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys beyond 2^53, and null for every fifth user: all of those are one sequence."""
+    e = _t(spark, sf_dir, "events").select(F.when(F.col("user_id") % 5 > 0, F.col("user_id") + (1 << 53)).alias("k"), "event_id", "ts")
+    df = op.batch_timed(4, 600_000, "ts", ["event_id"])(memory.from_table(e, ["ts", "event_id"], ["k"])).df
+    return df.select(F.coalesce(F.col("k").cast("string"), F.lit("none")).alias("k"), "batch_id", "batch_size", F.array_join(F.transform("items", lambda x: x["event_id"]), ",").alias("ids"))
+
+
 def _parties(spark: SparkSession, sf_dir: str) -> list[Seq]:
     c = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     s = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
@@ -105,9 +122,12 @@ def merge_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.merge(*_parties(spark, sf_dir)).df
 
 
-@query("SELECT 0 AS src_ord, c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT 1, s_suppkey, s_name FROM supplier")
+@query("""SELECT src_ord, id, name, CAST(row_number() OVER (ORDER BY src_ord, id) - 1 AS BIGINT) AS place
+FROM (SELECT 0 AS src_ord, c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT 1, s_suppkey, s_name FROM supplier)""")
 def concat_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.concat(*_parties(spark, sf_dir)).df.select("src_ord", "id", "name")
+    s = op.concat(*_parties(spark, sf_dir))
+    keyed = Seq(s.df.withColumn("one", F.lit(1).cast("bigint")).withColumn("spot", F.col("src_ord") * F.lit(1 << 40) + F.col("id")), ("spot",))
+    return op.running_sum("place", F.col("one"))(keyed).df.select("src_ord", "id", "name", (F.col("place") - 1).alias("place"))
 
 
 @query("""SELECT doc_id, CAST(i - 1 AS INTEGER) AS inner_ord, ws[i] AS word FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM documents), LATERAL (SELECT unnest(range(1, len(ws) + 1)) AS i)""")
@@ -202,9 +222,8 @@ def crc32_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("conv_id").agg(parts.alias("parts")).select("conv_id", checksum.fold_parts(F.col("parts")).alias("crc"))
 
 
-@query()
+@query(f"WITH {_TABLE} SELECT doc_id, {_CRC} AS crc FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents), t")
 def crc32_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts: SQL takes too long; a test holds it against zlib."""
     return _t(spark, sf_dir, "documents").select("doc_id", checksum.crc(F.encode("text", "UTF-8")).alias("crc"))
 
 
@@ -243,13 +262,14 @@ def _documents(spark: SparkSession, sf_dir: str, compression: str = "store") ->
     )
 
 
-@query("""SELECT source, doc_id, strlen(text) AS size, CAST(coalesce(sum(30 + strlen(source || '/' || doc_id || '.txt') + strlen(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS local_header_offset FROM documents""")
+@query(f"""WITH {_TABLE}, d AS (SELECT source, doc_id, source || '/' || doc_id || '.txt' AS name, strlen(text) AS size, hex(encode(text)) AS h FROM documents)
+SELECT source, doc_id, name, {_CRC} AS crc, size, CAST(coalesce(sum(30 + strlen(name) + size) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS local_header_offset FROM d, t""")
 def zip_manifest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _t(spark, sf_dir, "documents")
-    e = d.select(
-        F.col("source").alias("archive"), F.col("doc_id").alias("ord"), F.encode(F.concat("source", F.lit("/"), "doc_id", F.lit(".txt")), "UTF-8").alias("raw_name"), F.octet_length("text").cast("bigint").alias("csize")
-    ).withColumn("usize", F.col("csize"))
-    return zip_write.placed(e).select(F.col("archive").alias("source"), F.col("ord").alias("doc_id"), F.col("csize").alias("size"), "local_header_offset")
+    name = F.concat("source", F.lit("/"), "doc_id", F.lit(".txt"))
+    e = d.select(F.col("source").alias("archive"), F.col("doc_id").alias("ord"), name.alias("name"), F.encode(name, "UTF-8").alias("raw_name"), F.crc32(F.encode("text", "UTF-8")).alias("crc"), F.octet_length("text").cast("bigint").alias("csize"))
+    e = e.withColumn("usize", F.col("csize"))
+    return zip_write.placed(e, spread=True).select(F.col("archive").alias("source"), F.col("ord").alias("doc_id"), "name", "crc", F.col("csize").alias("size"), "local_header_offset")
 
 
 @query("""SELECT source, CAST(count(*) AS BIGINT) AS n_entries, CAST(sum(46 + strlen(source || '/' || doc_id || '.txt')) AS BIGINT) AS cd_size, CAST(sum(30 + strlen(source || '/' || doc_id || '.txt') + strlen(text)) AS BIGINT) AS cd_offset FROM documents GROUP BY 1""")
@@ -289,6 +309,38 @@ def zip_roundtrip_deflate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(zip_read.entries(zip_write.archives(_documents(spark, sf_dir, "deflate"))))
 
 
+_SHELVED = "SELECT CAST({id} // 64 AS VARCHAR) AS archive, CAST(row_number() OVER (PARTITION BY {id} // 64 ORDER BY {id}) - 1 AS INTEGER) AS ordinal, '{what}/' || {id} || '.txt' AS name, {text} AS text, 'ok' AS status FROM {table}"
+
+
+def _shelves(spark: SparkSession, sf_dir: str, table: str, key: str, text: str, what: str) -> DataFrame:
+    """The rows in archives of 64 ids each, compressed in turn by deflate and not at all, read back."""
+    d = _t(spark, sf_dir, table)
+    e = d.select(
+        F.floor(F.col(key) / 64).cast("string").alias("archive"), F.col(key).alias("ord"), F.concat(F.lit(f"{what}/"), key, F.lit(".txt")).alias("name"), F.encode(text, "UTF-8").alias("content"),
+        F.when(F.col(key) % 3 > 0, "deflate").otherwise("store").alias("compression"), F.lit("2024-06-15 14:30:22").cast("timestamp_ntz").alias("last_modified"), F.lit("").alias("comment"),
+    )
+    return zip_read.entries(zip_write.archives(e)).select("archive", "ordinal", "name", F.decode("content", "UTF-8").alias("text"), "status")
+
+
+@query(_SHELVED.format(id="doc_id", what="doc", text="text", table="documents"))
+def zip_roundtrip_shelves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shelves(spark, sf_dir, "documents", "doc_id", "text", "doc")
+
+
+@query(_SHELVED.format(id="page_id", what="page", text="html", table="pages"))
+def zip_roundtrip_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shelves(spark, sf_dir, "pages", "page_id", "html", "page")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS archive, source || '/' || doc_id || '.txt' AS name, CASE WHEN doc_id % 3 = 0 THEN 93 ELSE 8 END AS compression_method, text FROM documents WHERE doc_id % 5 > 0")
+def zip_own_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third archive in a compression of the caller's own; entries whose signal fired are left out."""
+    codec.register("lzma", 93, lzma.compress, lzma.decompress)
+    e = _documents(spark, sf_dir, "deflate").withColumn("compression", F.when(F.col("archive").cast("bigint") % 3 == 0, "lzma").otherwise("deflate"))
+    z = zip_write.archives(e.withColumn("aborted", F.col("archive").cast("bigint") % 5 == 0))
+    return zip_read.entries(z).select("archive", "name", "compression_method", F.decode("content", "UTF-8").alias("text"))
+
+
 @query("SELECT CAST(conv_id AS VARCHAR) AS archive, CAST(turn AS INTEGER) AS ordinal, role || '/' || lpad(CAST(turn AS VARCHAR), 5, '0') || '.txt' AS name, text FROM conversations")
 def zip_forward_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zip_read.scan(zip_write.archives(_turns(spark, sf_dir, "deflate"))).select("archive", "ordinal", "name", F.decode("content", "UTF-8").alias("text"))
@@ -335,12 +387,12 @@ def zip_forward_vs_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM events GROUP BY 1")
 def stream_batch_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of files, gathered by micro-batch, against the batch result."""
-    import uuid
-
     src = spark.readStream.schema(_t(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     name = f"sbe_{uuid.uuid4().hex}"
     agg = src.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("total"))
-    agg.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    state = f"{shared_dir(spark)}/{name}"
+    agg.writeStream.format("memory").queryName(name).option("checkpointLocation", state).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    drop_path(spark, state)
     return spark.table(name)
 
 
@@ -352,5 +404,9 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-def flagship(spark: SparkSession) -> DataFrame:
-    return zip_manifest_documents(spark, "/root/testdata/sf0.001")
+#: Where the flagship finds its tables unless STRANDKIT_SF_DIR names another folder: the driver's smallest.
+SMALLEST = "/root/testdata/sf0.001"
+
+
+def flagship(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
+    return zip_manifest_documents(spark, sf_dir or os.environ.get("STRANDKIT_SF_DIR", SMALLEST))

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.seq import Seq
+from ..plans.seq import Seq, track
 
 
 def from_table(df: DataFrame, order_by: list[str], key: list[str] | None = None) -> Seq:
@@ -40,7 +40,7 @@ def collect() -> Callable[[Seq], list[Row]]:
 
 
 def collect_bytes(column: str = "item") -> Callable[[Seq], bytes]:
-    """The binary items joined in order; zero bytes for no items. Null items add nothing."""
+    """The binary items joined in order; zero bytes for no items. Null items add nothing. They are joined as hex: within 1 GiB."""
 
     def sink(s: Seq) -> bytes:
         return bytes(s.df.agg(joined(column, s.order_by).alias("b")).first()["b"])
@@ -75,10 +75,19 @@ def to_stream() -> Callable[[Seq], Iterator[Row]]:
     return lambda s: (s.df.orderBy(*s.key, *s.order_by) if s.order_by else s.df).toLocalIterator(prefetchPartitions=False)
 
 
-def write_to(open_writer: Callable[[int], Any]) -> Callable[[Seq], None]:
-    """Each partition opens a writer with write, close and abort: closed on success, aborted on failure, the error raised again."""
+def write_to(open_writer: Callable[[int], Any], checkpoint: str | None = None) -> Callable[[Seq], None]:
+    """Each partition opens a writer with write, close and abort: closed on success, aborted on failure, the error raised again.
+
+    A streaming sequence is written until what there is has been read, with a writer for each partition of each micro-batch; a later
+    run with the same `checkpoint` goes on from there. A retried task opens a writer again, so a writer should replace what its
+    partition wrote before.
+    """
 
     def sink(s: Seq) -> None:
+        if s.df.isStreaming:
+            w = s.df.writeStream.foreach(_Rows(open_writer)).trigger(availableNow=True)
+            track((w.option("checkpointLocation", checkpoint) if checkpoint else w).start()).awaitTermination()
+            return
         df = s.df.repartitionByRange(*s.order_by).sortWithinPartitions(*s.order_by) if s.order_by else s.df
 
         def run(rows: Iterator[Row]) -> None:
@@ -96,3 +105,23 @@ def write_to(open_writer: Callable[[int], Any]) -> Callable[[Seq], None]:
         df.foreachPartition(run)
 
     return sink
+
+
+class _Rows:
+    """A writer as Spark's streaming sink drives it."""
+
+    def __init__(self, open_writer: Callable[[int], Any]):
+        self.open_writer = open_writer
+
+    def open(self, partition: int, epoch: int) -> bool:
+        self.w = self.open_writer(partition)
+        return True
+
+    def process(self, row: Row) -> None:
+        self.w.write(row)
+
+    def close(self, error: Exception | None) -> None:
+        if error is None:
+            self.w.close()
+        else:
+            self.w.abort()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import CorruptArchive
+from ..functions import codec
 from . import zip_format as z
 
 DIRECTORY = "archive string, ordinal int, name string, compression_method int, crc32 bigint, compressed_size bigint, uncompressed_size bigint, local_header_offset bigint, last_modified timestamp_ntz, comment string"
@@ -26,8 +27,10 @@ def _read(data: bytes) -> z.Read:
 
 def _each(archives: DataFrame, schema: str, rows, permissive: bool) -> DataFrame:
     width = len(schema.split(", "))
+    own = {m: f for m, f in codec.DECODERS.items() if m not in (codec.STORE, codec.DEFLATE)}  # the caller's decoders go along with the plan
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codec.DECODERS.update(own)
         got, held = [], 0
         for frame in frames:
             for name, data in zip(frame["archive"], frame["content"]):

@@ -19,7 +19,7 @@ from pyspark.sql import Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from ..errors import CorruptArchive
+from ..errors import BadEntry, CorruptArchive
 from . import zip_format as z
 from .zip_read import DIRECTORY, ENTRIES, _row
 
@@ -95,6 +95,21 @@ class _PushingReader(_Reader):
                 yield f
 
 
+def _check(i: int, d: dict) -> None:
+    """The rules of zip_write.layout for one row; entries of a caller's own compression are written by plans only."""
+    name, how = d.get("name"), d.get("compression")
+    fault = (
+        "a name is required" if not name
+        else "the name is over 65535 bytes" if len(name.encode()) > 0xFFFF
+        else "content is required" if d.get("content") is None
+        else "the comment is over 65535 bytes" if len((d.get("comment") or "").encode()) > 0xFFFF
+        else f"no such compression: {how}" if how not in (None, "store", "deflate")
+        else None
+    )
+    if fault:
+        raise BadEntry(f"entry {i}: {fault}; name {(name or 'null')[:80]}")
+
+
 @dataclass
 class _Done(WriterCommitMessage):
     part: str
@@ -111,8 +126,11 @@ class _Writer(DataSourceWriter):
         part = final + ".part"
         try:
             with zipfile.ZipFile(part, "w", allowZip64=True) as out:
-                for r in rows:
+                for i, r in enumerate(rows):
                     d = r.asDict()
+                    if d.get("aborted"):
+                        continue
+                    _check(i, d)
                     when = d.get("last_modified")
                     info = zipfile.ZipInfo(d["name"], when.timetuple()[:6] if when else time.gmtime(315532800)[:6])
                     info.compress_type = zipfile.ZIP_STORED if d.get("compression") == "store" else zipfile.ZIP_DEFLATED

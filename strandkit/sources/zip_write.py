@@ -1,7 +1,8 @@
 """Writing ZIP archives as plans: offsets are prefix sums, headers are little-endian columns, an archive is an ordered join of parts.
 
-Input rows: archive, ord, name, content, compression ('deflate' or 'store'; null deflates), last_modified (timestamp without zone; null is
-1980-01-01), comment. An archive's bytes must stay within one binary value (2 GiB); the data source writer streams larger ones.
+Input rows: archive, ord, name, content, compression ('deflate', 'store' or one of codec.register; null deflates), last_modified (timestamp
+without zone; null is 1980-01-01), comment, and optionally aborted: an entry whose signal fired is left out and the others stand. An
+archive is joined as hex, so it must stay within 1 GiB; the data source writer streams larger ones.
 """
 
 from __future__ import annotations
@@ -11,62 +12,90 @@ from pyspark.sql import functions as F
 
 from ..errors import ArchiveAborted, BadEntry
 from ..functions.binary import dos_date, dos_time, le_hex
-from ..functions.codec import DEFLATE, STORE, deflate
+from ..functions.codec import encoded, method_of
+from ..operators.ordered import running_sum
+from ..plans.seq import Seq
 
 FULL16, FULL32 = 0xFFFF, 0xFFFFFFFF
 
 
-def check_entries(entries: DataFrame) -> None:
-    """Fails before anything is written if an entry has no name, no content, or a name or comment over 65,535 bytes."""
-    bad = entries.where(
-        F.col("name").isNull()
-        | (F.col("name") == "")
-        | F.col("content").isNull()
-        | (F.octet_length("name") > FULL16)
-        | (F.octet_length(F.coalesce("comment", F.lit(""))) > FULL16)
+def _fault(entries: DataFrame) -> Column:
+    """What is wrong with an entry, as a message; null if nothing is."""
+    name, comment = F.col("name"), F.coalesce("comment", F.lit(""))
+    what = (
+        F.when(name.isNull() | (name == ""), "a name is required")
+        .when(F.octet_length(name) > FULL16, "the name is over 65535 bytes")
+        .when(F.col("content").isNull(), "content is required")
+        .when(F.octet_length(comment) > FULL16, "the comment is over 65535 bytes")
+        .when(method_of(_compression()).isNull(), F.concat(F.lit("no such compression: "), F.col("compression")))
     )
-    row = bad.select("archive", "ord", "name").limit(1).collect()
+    return F.concat(F.lit("entry "), F.col("ord").cast("string"), F.lit(" of archive "), F.coalesce(F.col("archive").cast("string"), F.lit("null")), F.lit(": "), what, F.concat(F.lit("; name "), F.coalesce(F.left(name, F.lit(80)), F.lit("null"))))
+
+
+def _compression() -> Column:
+    return F.coalesce("compression", F.lit("deflate"))
+
+
+def check_entries(entries: DataFrame) -> None:
+    """Fails at once, by a job of its own, where writing would fail: an entry without name or content, or one that does not fit."""
+    row = entries.select(_fault(entries).alias("fault")).where(F.col("fault").isNotNull()).first()
     if row:
-        raise BadEntry(f"entry {row[0]['ord']} of archive {row[0]['archive']!r} needs a name and content that fit: name {row[0]['name']!r}")
+        raise BadEntry(row["fault"])
 
 
 def layout(entries: DataFrame, aborted: bool = False) -> DataFrame:
-    """One row an entry with method, crc32, sizes and local_header_offset; the data column `cdata` is not read unless selected."""
+    """One row an entry with method, crc32, sizes and local_header_offset; the data column `cdata` is not read unless selected.
+
+    Entries are checked as they are read: a bad one fails the query, as BadEntry in a pipeline or under errors.typed_errors().
+    """
     if aborted:
         raise ArchiveAborted("cancelled before it began")
-    stored = F.coalesce(F.col("compression"), F.lit("deflate")) == "store"
+    if "aborted" in entries.columns:
+        entries = entries.where(~F.coalesce("aborted", F.lit(False)))
+    fault = _fault(entries)
     e = entries.select(
         "archive",
         "ord",
         "name",
-        F.encode("name", "UTF-8").alias("raw_name"),
+        F.when(fault.isNotNull(), F.raise_error(F.concat(F.lit("BadEntry: "), fault)).cast("binary")).otherwise(F.encode("name", "UTF-8")).alias("raw_name"),
         F.encode(F.coalesce("comment", F.lit("")), "UTF-8").alias("raw_comment"),
-        F.when(stored, STORE).otherwise(DEFLATE).alias("method"),
+        method_of(_compression()).alias("method"),
         F.crc32("content").alias("crc32"),
         F.octet_length("content").cast("bigint").alias("usize"),
-        F.when(stored, F.col("content")).otherwise(deflate("content")).alias("cdata"),
+        encoded(F.col("content"), _compression()).alias("cdata"),
         F.coalesce("last_modified", F.lit("1980-01-01 00:00:00").cast("timestamp_ntz")).alias("last_modified"),
     )
     return placed(e.withColumn("csize", F.octet_length("cdata").cast("bigint")))
 
 
-def placed(e: DataFrame) -> DataFrame:
-    """Adds local_header_offset, the bytes of an archive before each entry, from name and data sizes."""
-    wide = (F.col("csize") >= FULL32) | (F.col("usize") >= FULL32)
-    size = F.lit(30) + F.octet_length("raw_name") + F.when(wide, 20).otherwise(0) + F.col("csize")
-    before = Window.partitionBy("archive").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    return e.withColumn("local_header_offset", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("bigint"))
+def _wide() -> Column:
+    return (F.col("csize") >= FULL32) | (F.col("usize") >= FULL32)
 
 
-def _n(v: Column | int, size: int) -> Column:
-    return le_hex(F.lit(v) if isinstance(v, int) else v, size)
+def _local_size() -> Column:
+    """Bytes of an entry's header and data."""
+    return F.lit(30) + F.octet_length("raw_name") + F.when(_wide(), 20).otherwise(0) + F.col("csize")
+
+
+def _central_size() -> Column:
+    return F.lit(46) + F.octet_length("raw_name") + F.octet_length("raw_comment") + F.when(_wide() | (F.col("local_header_offset") >= FULL32), 28).otherwise(0)
+
 
+def placed(e: DataFrame, spread: bool = False) -> DataFrame:
+    """Adds local_header_offset, the bytes of an archive before each entry, from name and data sizes. With `spread`, the entries of a
+    very large archive are summed in many tasks, at the price of a small job first; where whole archives are made they meet anyway."""
+    if spread:
+        df = running_sum("__end", _local_size())(Seq(e, ("ord",), ("archive",))).df
+        return df.withColumn("local_header_offset", (F.col("__end") - _local_size()).cast("bigint")).drop("__end")
+    before = Seq(e, ("ord",), ("archive",)).window().rowsBetween(Window.unboundedPreceding, -1)
+    return e.withColumn("local_header_offset", F.coalesce(F.sum(_local_size()).over(before), F.lit(0)).cast("bigint"))
 
-def _min32(c: Column) -> Column:
-    return F.least(c, F.lit(FULL32))
 
+def _n(v: Column | int, size: int) -> Column:
+    return le_hex(F.lit(v) if isinstance(v, int) else v, size)
 
-def local_header_hex(e: str = "") -> Column:
+
+def local_header_hex() -> Column:
     """Header, name and, only if a size needs it, the 64-bit field. Sizes are known, so no descriptor follows."""
     csize, usize = F.col("csize"), F.col("usize")
     wide = (csize >= FULL32) | (usize >= FULL32)
@@ -100,21 +129,21 @@ def end_hex(n: Column, size: Column, offset: Column) -> Column:
 
 def ends(laid: DataFrame) -> DataFrame:
     """archive, n_entries, cd_size, cd_offset."""
-    wide = (F.col("csize") >= FULL32) | (F.col("usize") >= FULL32)
-    entry = F.lit(30) + F.octet_length("raw_name") + F.when(wide, 20).otherwise(0) + F.col("csize")
-    cd = F.lit(46) + F.octet_length("raw_name") + F.octet_length("raw_comment") + F.when(wide | (F.col("local_header_offset") >= FULL32), 28).otherwise(0)
-    return laid.groupBy("archive").agg(F.count("*").alias("n_entries"), F.sum(cd).cast("bigint").alias("cd_size"), F.sum(entry).cast("bigint").alias("cd_offset"))
+    return laid.groupBy("archive").agg(F.count("*").alias("n_entries"), F.sum(_central_size()).cast("bigint").alias("cd_size"), F.sum(_local_size()).cast("bigint").alias("cd_offset"))
 
 
 def archives(entries: DataFrame, aborted: bool = False) -> DataFrame:
-    """archive, content: one row an archive. A failing entry fails the query; no archive is half written."""
+    """archive, content: one row an archive. A failing entry fails the query; no archive is half written.
+
+    Each entry is read and compressed once: its row gives its local part and its directory part, and the sizes for the end record.
+    """
     laid = layout(entries, aborted)
-    parts = laid.select("archive", F.lit(0).alias("section"), "ord", F.concat(local_header_hex(), F.hex("cdata")).alias("h")).unionByName(
-        laid.select("archive", F.lit(1).alias("section"), "ord", central_hex().alias("h"))
+    item = F.struct("ord", F.concat(local_header_hex(), F.hex("cdata")).alias("local"), central_hex().alias("central"))
+    whole = laid.groupBy("archive").agg(
+        F.array_sort(F.collect_list(item)).alias("p"), F.count("*").alias("n"), F.sum(_central_size()).cast("bigint").alias("size"), F.sum(_local_size()).cast("bigint").alias("offset")
     )
-    end = ends(laid).select("archive", F.lit(2).alias("section"), F.lit(0).cast("bigint").alias("ord"), end_hex(F.col("n_entries"), F.col("cd_size"), F.col("cd_offset")).alias("h"))
-    whole = parts.unionByName(end).groupBy("archive").agg(F.array_sort(F.collect_list(F.struct("section", "ord", "h"))).alias("p"))
-    return whole.select("archive", F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), "")).alias("content"))
+    parts = [F.array_join(F.col(f"p.{name}"), "") for name in ("local", "central")]
+    return whole.select("archive", F.unhex(F.concat(*parts, end_hex(F.col("n"), F.col("size"), F.col("offset")))).alias("content"))
 
 
 #: An archive without entries.

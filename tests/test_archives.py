@@ -1,4 +1,5 @@
 import io
+import os
 import random
 import struct
 import zipfile
@@ -7,9 +8,11 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from strandkit.errors import ArchiveAborted, BadEntry, CorruptArchive
+from strandkit.errors import ArchiveAborted, BadEntry, CorruptArchive, typed_errors
+from strandkit.functions import codec
+from strandkit.plans import pipe
+from strandkit.sources import memory, zip_read, zip_source, zip_write
 from strandkit.sources import zip_format as z
-from strandkit.sources import zip_read, zip_source, zip_write
 
 INPUT = "archive string, ord bigint, name string, content binary, compression string, last_modified timestamp_ntz, comment string"
 WHEN = datetime(2024, 6, 15, 14, 30, 22)
@@ -133,13 +136,57 @@ def test_wide_headers_match_zipfile_rules(spark):
     assert len(end) == 98 and z.directory_span(3 + 98, lambda a, n: (b"abc" + end)[a : a + n]) == (70_000, 3, 0)
 
 
-def test_bad_entries(spark):
-    for rows in ([("", b"x", None, None)], [("n", None, None, None)], [("n" * 70_000, b"x", None, None)]):
-        with pytest.raises(BadEntry, match="name"):
-            zip_write.check_entries(entries(spark, rows))
+BAD = [("", b"x", None, None), ("n", None, None, None), (None, b"x", None, None), ("n" * 70_000, b"x", None, None), ("n", b"x", None, "c" * 70_000), ("n", b"x", "zip", None)]
+
+
+@pytest.mark.parametrize("row", BAD)
+def test_bad_entries_fail_wherever_they_are_written(spark, row, tmp_path):
+    e = entries(spark, [SOME[1], row])
+    with pytest.raises(BadEntry, match="name"):
+        zip_write.check_entries(e)
+    with pytest.raises(BadEntry, match="name"), typed_errors():
+        zip_write.archives(e).collect()
+    with pytest.raises(BadEntry, match="name"):
+        pipe(memory.from_table(e, ["ord"], ["archive"]), lambda s: zip_write.archives(s.df).collect())
+    zip_source.register(spark)
+    with pytest.raises(BadEntry, match="name"), typed_errors():
+        e.coalesce(1).write.format("strandzip").mode("append").save(str(tmp_path / "out"))
+    assert not [p for p in os.listdir(tmp_path / "out") if p.endswith(".zip")]
+
+
+def test_good_entries_and_aborts(spark):
     zip_write.check_entries(entries(spark, SOME))
     with pytest.raises(ArchiveAborted):
         zip_write.archives(entries(spark, SOME), aborted=True)
+    some = entries(spark, SOME).withColumn("aborted", F.col("name") == "all.bin")
+    got = zip_read.entries(zip_write.archives(some)).orderBy("ordinal").collect()
+    assert [(r["name"], bytes(r["content"])) for r in got] == [(n, c) for n, c, _, _ in SOME if n != "all.bin"]
+
+
+def test_own_codec(spark):
+    codec.register("backwards", 777, lambda b: b[::-1], lambda b: b[::-1])
+    codec.register("oneway", 778, lambda b: b)
+    for bad in (("deflate", 9), ("x", 8), ("x", 70_000), ("", 5)):
+        with pytest.raises(ValueError):
+            codec.register(*bad, bytes)
+    data = built(spark, [("a", b"abc", "backwards", None), ("b", b"abc" * 99, None, None), ("c", b"xyz", "oneway", None)])
+    got = zip_read.entries(frame(spark, data), permissive=True).orderBy("ordinal").collect()
+    assert [(r["compression_method"], r["status"]) for r in got] == [(777, "ok"), (8, "ok"), (778, "unsupported_method")]
+    assert bytes(got[0]["content"]) == b"abc" and b"cba" in data
+
+
+def test_entries_are_compressed_once(spark):
+    plan = zip_write.archives(entries(spark, SOME))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_close_of_a_reader(tmp_path):
+    path = tmp_path / "a.zip"
+    path.write_bytes(zip_write.EMPTY_ARCHIVE)
+    with zip_source._File(str(path)) as f:
+        assert z.directory(f.size, f.read) == [] and f.read(-1, 4) == b""
+    with pytest.raises(ValueError):
+        f.read(0, 4)
 
 
 def test_data_source(spark, tmp_path):

@@ -1,3 +1,4 @@
+import threading
 import time
 
 import pytest
@@ -44,3 +45,54 @@ def test_timed_batches_on_a_stream(spark, tmp_path):
     assert [len(r["items"]) for r in got][:2] == [2, 2]  # the fifth item waits for its timer
     assert sorted(r["batch_id"] for r in got) == list(range(len(got)))
     assert len({x for r in got for x in r["items"]}) == sum(len(r["items"]) for r in got) >= 4
+
+
+def test_consume_while_the_producer_writes_and_waits(spark, tmp_path):
+    c = Channel(spark, str(tmp_path / "c"), "item bigint", in_flight=1)
+    seen, writes = [], []
+
+    def produce():
+        for i in range(4):
+            c.write([{"item": i}], timeout=60)
+            writes.append((i, len(seen)))
+        c.close()
+
+    t = threading.Thread(target=produce)
+    t.start()
+    c.consume(lambda df, _: seen.extend(r["item"] for r in df.collect()), str(tmp_path / "k"))
+    t.join(60)
+    assert seen == [0, 1, 2, 3] and all(n >= i for i, n in writes)  # no write went ahead of the reads by more than one
+    with pytest.raises(ChannelClosed):
+        c.write([{"item": 9}])
+
+
+def test_a_consumer_that_stops_ends_the_writes(spark, tmp_path):
+    c = Channel(spark, str(tmp_path / "c"), "item bigint", in_flight=1)
+    refused = []
+
+    def produce():
+        try:
+            for i in range(50):
+                c.write([{"item": i}], timeout=60)
+        except ChannelClosed:
+            refused.append(i)
+
+    t = threading.Thread(target=produce)
+    t.start()
+    c.consume(lambda df, _: False, str(tmp_path / "k"))
+    t.join(60)
+    assert refused and refused[0] <= 3
+
+
+def test_an_error_wakes_a_waiting_consumer(spark, tmp_path):
+    c = Channel(spark, str(tmp_path / "c"), "item bigint")
+    t = threading.Timer(1.0, lambda: c.error(RuntimeError("delayed")))
+    t.start()
+    with pytest.raises(RuntimeError, match="delayed"):
+        c.consume(lambda df, _: None, str(tmp_path / "k"))
+    slow = Channel(spark, str(tmp_path / "s"), "item bigint", in_flight=1)
+    slow.write([{"item": 1}])
+    with pytest.raises(TimeoutError):
+        slow.write([{"item": 2}], timeout=0.2)
+    with pytest.raises(ValueError):
+        Channel(spark, str(tmp_path / "s"), "item bigint", in_flight=0)
