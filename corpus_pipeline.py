@@ -10,7 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from strandkit.llm import decontamination, mixing, secrets, similarity, toxicity
-from strandkit.llm.common import ensure_checkpoint_dir, table
+from strandkit.llm.common import table
+from strandkit.session import drop_path, shared_dir
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,18 +47,23 @@ STAGES = [
     ("mixing", mixing_stage),
 ]
 
-#: Trained stages have no SQL; tests hold the pipeline against its stages' brute-force versions.
+#: Trained stages have no SQL; tests/llm holds the rows of the chained stages against a plain Python version that shares the fitted models.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result but the last is written to the shared folder and read again."""
-    ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.parquet(f"{base}/{k}-{name}")
-            docs = spark.read.parquet(f"{base}/{k}-{name}")
+    """Applies the stages to documents; each result is written to the shared folder and read again, and removed once the next is
+    written. What remains is the last one's, which the caller reads."""
+    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, last = table(spark, sf_dir, "documents"), None
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            path = f"{base}/{k}-{name}"
+            stage(spark, docs, sf_dir).write.parquet(path)
+            if last:
+                drop_path(spark, last)
+            docs, last = spark.read.parquet(path), path
+    except BaseException:
+        drop_path(spark, base)
+        raise
     return docs
