@@ -1,37 +1,43 @@
 """N-gram Jaccard join: links between documents whose shingle sets are similar, and the classes that links make.
 
-Sets are 64-bit hashes. Tiles are banded by size: a class of sizes cuts the hash space into p equal segments, with p so large that
-two linked sets of the class cannot differ in every segment that is not empty; so they have a segment with the same content, and
-tiles, named by class, segment and content, bring every linked pair together. Small sets meet by pairs of their rarest members. Each set
-first meets the busiest set of its tiles. Members of a tile that are still in different components then meet in blocks: a task holds
-two blocks and compares their hashed bitmaps, whose length follows the size; bit counts bound the overlap from above, and only pairs
-that may link become rows, for the exact intersection of sorted arrays. Sets that are equal are one from the start.
+Sets are 64-bit hashes; equal sets are one from the start. All sets sort their members alike, the rarest first by a sketch of
+frequencies. A set that lacks at most f of its members in a partner has one that they share among its first f + 1, so these members,
+with the band of the set's size, name its tiles; a set is in the tiles of its own band and of the next if it can link into that. Tiles of
+one set are dropped. In a tile of up to TILE sets those meet that the sizes, and the places of the shared member, allow to link. In a larger
+tile every set first meets the busiest one, and what is then still in different components meets in blocks: a task holds two blocks and
+compares their hashed bitmaps. Every pair that met has its bitmaps compared, whose length follows the size: bit counts bound the
+overlap from above, and only pairs that may link go on to the exact intersection of sorted arrays.
 """
 
 from __future__ import annotations
 
-import math
-from bisect import bisect_left
-from collections.abc import Iterator
-from functools import lru_cache
-from itertools import combinations
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, drop_table, fresh, write_table
+from ..session import drop_path
+from .common import components, cut, fresh, write_table
 
 WORDS, THRESHOLD = 5, 80
-#: Members of a block, about; a task compares two blocks at a time.
-BLOCK = 256
-#: Up to so many rows a pair of blocks is compared pair by pair, without the arrays.
-FEW = 6
+#: Sets up to which a tile's pairs are met by a join of ids; and members of a block in larger ones, about.
+TILE, BLOCK = 64, 2048
 #: Ids up to which a side is broadcast; beyond it the same join is shuffled.
 BROADCAST_ROWS = 500_000
+#: Slots of the frequency sketch that orders the members of sets: 2 to this power, whatever the input; and slots a row of counts.
+SLOT_BITS, CHUNK = 17, 1 << 10
+#: A member may be common if its slot has more than so many times the mean; others hold at most that share of all members.
+COMMON = 4
+#: Bytes of texts that are hashed at once.
+PIECE = 1 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_CACHE: dict[bytes, int] = {}
+_BASE = 0xD6E8FEB86659FD93
+_BYTES = np.random.default_rng(20).integers(1, 1 << 64, 256, np.uint64)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_POWERS: list[np.ndarray] = []
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -40,102 +46,81 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-#: Sets up to this size meet by pairs of members.
-SMALL = 128
-#: Slots of the frequency sketch that orders the members of small sets: 2 to this power, whatever the input.
-SLOT_BITS = 17
-
-
 def slots_of(s: np.ndarray) -> np.ndarray:
     return (s * _B) >> np.uint64(64 - SLOT_BITS)
 
 
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct hashes of all runs of `words` words, A-Z lower-cased; of the whole sequence if it is shorter; none without words."""
-    if not text:
-        return np.zeros(0, np.uint64)
-    import xxhash
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of the base and of its inverse, modulo 2^64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, PIECE + (1 << 16))
+        _POWERS[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)]) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _POWERS[0], _POWERS[1]
 
-    ws = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: exactly A-Z, and exactly ASCII white space
-    if not ws:
-        return np.zeros(0, np.uint64)
-    if len(_CACHE) > 400_000:
-        _CACHE.clear()
-    get, out = _CACHE.get, []
-    for w in ws:
-        h = get(w)
-        if h is None:
-            h = _CACHE[w] = xxhash.xxh64_intdigest(w)
-        out.append(h)
-    h = np.array(out, np.uint64)
-    k = min(words, len(h))
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every word of the bytes, by its bytes alone, and where the words begin.
+
+    A running sum of a random number a byte times a power of the base gives each word's polynomial as a difference, which the inverse
+    power moves to the front.
+    """
+    b = np.frombuffer(raw, np.uint8)
+    solid = np.r_[False, ~_SPACE[b], False]
+    edges = np.flatnonzero(solid[1:] != solid[:-1])
+    start, end = edges[::2], edges[1::2]
+    up, down = _powers(len(b))
+    sums = np.r_[np.uint64(0), np.cumsum(_BYTES[b] * up[: len(b)])]
+    return _mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _A), start
+
+
+def shingle_sets(texts: Iterable[str | None], words: int) -> Iterator[np.ndarray]:
+    """For every text, in order: sorted distinct hashes of all runs of `words` words, A-Z lower-cased; of the whole sequence if it is
+    shorter; none without words. Short texts are hashed many at a time, long ones in pieces."""
+    held: list[bytes] = []
+    size = 0
+    for text in texts:
+        # bytes: exactly A-Z, and exactly ASCII white space
+        held.append(text.encode("utf-8", "surrogatepass").lower() if text else b"")
+        size += len(held[-1]) + 1
+        if size >= PIECE:
+            yield from _sets_of(held, words)
+            held, size = [], 0
+    yield from _sets_of(held, words)
+
+
+def _sets_of(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
+    offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    raw, at, hashes, starts = b"\n".join(texts), 0, [], []
+    while at < len(raw):
+        cut = len(raw) if len(raw) - at <= 2 * PIECE else at + PIECE
+        while cut < len(raw) and not _SPACE[raw[cut]]:  # a piece ends where a word does
+            cut += 1
+        h, start = word_hashes(raw[at:cut])
+        hashes.append(h)
+        starts.append(start + at)
+        at = cut
+    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    first = np.searchsorted(np.concatenate(starts) if starts else np.zeros(0, np.int64), offsets).tolist()
+    runs = _runs(h, words)
+    for a, b in zip(first[:-1], first[1:]):
+        s = np.sort(runs[a : b - words + 1] if b - a >= words else _runs(h[a:b], b - a))
+        yield s[np.r_[True, s[1:] != s[:-1]]] if len(s) > 1 else s
+
+
+def _runs(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k hashes."""
     n = len(h) - k + 1
+    if k == 0 or n <= 0:
+        return np.zeros(0, np.uint64)
     acc = np.full(n, np.uint64(k))
     for i in range(k):
         acc = _mix(acc * _A + h[i : i + n])
-    return np.unique(acc)
+    return acc
 
 
-@lru_cache(maxsize=8)
-def size_classes(threshold: int) -> tuple[list[int], list[int]]:
-    """(largest size of each class, its number): under 4 the members a tile combines, from 4 the segments of the hash space.
-
-    Small sets: tiles are pairs among the rarest members, by a sketch of frequencies. In any order common to all sets, one that lacks at
-    most f of its members in a partner has among its first f + 2 at least two that both have first, so a linked pair shares a tile. Larger sets: with sizes up to n, linked sets differ in at most
-    2n(1-t)/(1+t) members, and so in as many segments; the segments that are not empty, less eight standard deviations, are more.
-    """
-    if not 67 <= threshold <= 100:
-        raise ValueError("threshold must be from 67 to 100")
-    t = threshold / 100
-    tops, kinds = [SMALL], [2]
-    p = 16
-    while tops[-1] < 1 << 40:
-        p = max(p + 1, int(p * 1.25))
-
-        def good(n: int, p: int = p) -> bool:
-            c = n / p
-            e = math.exp(-c)
-            spread = math.sqrt(max(0.0, p * e * (1 - (1 + c) * e)))  # of the number of empty segments
-            return p * (1 - e) - 8 * spread - 1 > 2 * n * (1 - t) / (1 + t)
-
-        low, high = tops[-1] + 1, 8 * p
-        if high <= low or not good(low):
-            continue
-        while low < high:
-            mid = (low + high + 1) // 2
-            low, high = (mid, high) if good(mid) else (low, mid - 1)
-        tops.append(low)
-        kinds.append(p)
-    return tops, kinds
-
-
-@lru_cache(maxsize=256)
-def _choices(m: int, d: int) -> np.ndarray:
-    return np.array(list(combinations(range(m), d)), np.int64).reshape(-1, d)
-
-
-def keys_of(s: np.ndarray, threshold: int, often: np.ndarray | None = None) -> np.ndarray:
-    """The tiles of a set: those of its own class and of the classes up to the largest set it can link with."""
-    n = len(s)
-    tops, kinds = size_classes(threshold)
-    out = []
-    for j in range(bisect_left(tops, n), bisect_left(tops, n * 100 // threshold) + 1):
-        if kinds[j] < 4:
-            d = kinds[j]
-            if n < d:
-                continue  # no other set is near enough to one so small
-            order = s if often is None else s[np.lexsort((s, often[slots_of(s)]))]
-            first = order[: n * (100 - threshold) // 100 + d]
-            key = np.full(1, np.uint64(j + 1))
-            for col in _choices(len(first), d).T:
-                key = _mix(key * _A + first[col])
-            out.append(key)
-        else:
-            seg = ((s >> np.uint64(32)) * np.uint64(kinds[j])) >> np.uint64(32)
-            at = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
-            content = np.add.reduceat(_mix(s + _A), at)
-            out.append(_mix(content + seg[at] * _A + np.uint64(kinds[j])))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+def rarest(s: np.ndarray, threshold: int, often: np.ndarray) -> np.ndarray:
+    """The members of a set that name its tiles: the first ones, one more than it may lack in a partner. Any order common to all sets serves."""
+    return s[np.argsort(often[slots_of(s)], kind="stable")[: len(s) * (100 - threshold) // 100 + 1]]
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -166,63 +151,132 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
 
 
 def set_rows(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, d1, d2 (a digest of the set), slots (of a small set's members in the sketch): one row a document."""
+    """doc_id, n_shingles, d1, d2 (a digest of the set): one row a document; and, with `chunk` not null, rows of every task's counts of
+    the sketch's slots, as many however large the task."""
+    ids = docs.schema["doc_id"].dataType.simpleString()
 
-    @F.pandas_udf("n_shingles long, d1 long, d2 long, slots array<int>")
-    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for texts in batches:
-            out = []
-            for t in texts:
-                s = shingle_set(t, words)
+        counts, waiting, n_waiting, kind = np.zeros(1 << SLOT_BITS, np.int64), [], 0, None
+        for batch in batches:
+            kind, out = batch.schema.field(0).type, []
+            for s in shingle_sets((t.as_py() for t in batch.column(1)), words):
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
-                slots = np.unique(slots_of(s)).astype(np.int32) if len(s) <= SMALL else np.zeros(0, np.int32)
-                out.append((len(s), (d & (2**64 - 1)) - 2**63, (d >> 64) - 2**63, slots))
-            yield pd.DataFrame(out, columns=["n_shingles", "d1", "d2", "slots"])
-
-    return docs.select("doc_id", apply("text").alias("s")).select("doc_id", "s.*")
+                out.append((len(s), (d & (2**64 - 1)) - 2**63, (d >> 64) - 2**63))
+                waiting.append(s)
+                n_waiting += len(s)
+                if n_waiting > 1 << 19:
+                    counts += np.bincount(slots_of(np.concatenate(waiting)).astype(np.int64), minlength=len(counts))
+                    waiting, n_waiting = [], 0
+            yield made(batch.column(0), *(pa.array(x, pa.int64()) for x in (zip(*out) if out else ([], [], []))), [None] * len(out), [None] * len(out))
+        if waiting:
+            counts += np.bincount(slots_of(np.concatenate(waiting)).astype(np.int64), minlength=len(counts))
+        used = np.flatnonzero(counts.reshape(-1, CHUNK).any(1))
+        if len(used):
+            none = pa.nulls(len(used), pa.int64())
+            yield made(pa.nulls(len(used), kind), none, none, none, used, counts.reshape(-1, CHUNK)[used].tolist())
+
+    def made(ids: pa.Array, n: pa.Array, d1: pa.Array, d2: pa.Array, chunk: list, counts: list) -> pa.RecordBatch:
+        arrays = [ids, n, d1, d2, pa.array(chunk, pa.int32()), pa.array(counts, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "d1", "d2", "chunk", "counts"])
+
+    return docs.select("doc_id", "text").mapInArrow(apply, f"doc_id {ids}, n_shingles long, d1 long, d2 long, chunk int, counts array<long>")
 
 
 def frequencies(rows: DataFrame) -> np.ndarray:
-    """How many small sets have a member in each slot: at most 2^SLOT_BITS counts come to the driver, from all rows."""
+    """How many sets have a member in each slot: at most 2^SLOT_BITS counts come to the driver, from all rows of set_rows."""
+    each = rows.where(F.col("chunk").isNotNull()).select("chunk", F.posexplode("counts").alias("at", "n"))
+    got = each.groupBy((F.col("chunk") * CHUNK + F.col("at")).alias("slot")).agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << SLOT_BITS, np.int64)
-    for slot, n in rows.select(F.explode("slots").alias("slot")).groupBy("slot").count().collect():
-        out[slot] = n
+    out[got["slot"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
-def tile_rows(docs: DataFrame, words: int, threshold: int, often: np.ndarray) -> DataFrame:
-    """key, id: the tiles of every document's set."""
+def offered_rows(docs: DataFrame, words: int, threshold: int, often: np.ndarray) -> DataFrame:
+    """id, n, members, common, bits: a document's set by its size, the members that name its tiles, how many of the last of them may be
+    common ones, and its bitmap."""
+    limit = max(TILE, COMMON * float(often.mean()))
 
-    @F.pandas_udf("array<long>")
-    def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("n long, members array<long>, common int, bits binary")
+    def offer(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            sets = [shingle_set(t, words) for t in texts]
-            yield pd.Series([keys_of(s, threshold, often).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets])
+            out = []
+            for s in shingle_sets(texts, words):
+                m = rarest(s, threshold, often) if len(s) else s
+                out.append((len(s), m.view(np.int64), int((often[slots_of(m)] > limit).sum()), bitmap(s)))
+            yield pd.DataFrame(out, columns=["n", "members", "common", "bits"])
 
-    return docs.select(F.explode(keys("text")).alias("key"), F.col("doc_id").alias("id"))
+    return docs.select(F.col("doc_id").alias("id"), offer("text").alias("m")).select("id", "m.*")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) of ids whose sets link. Whole texts travel, which take less room than their hashes; bitmaps and sorted
-    arrays are made where a pair meets, and kept for the next pair of the same document."""
+def band(n: Column) -> Column:
+    """The band of a size: sizes from a power of four up to the next."""
+    return F.floor((F.length(F.bin(n)) - 1) / 2)
+
+
+def tiles_with_company(offered: DataFrame, threshold: int) -> DataFrame:
+    """key, id, n, at, c: the tiles of several sets, with a set's size, the place of the tile's member in it, and the sets of the tile.
+
+    A set is in the tiles of its own band and of the bands up to that of the largest set it can link with, so two sets that can link
+    meet in the larger one's band. A tile is dealt by its key once; only members that may be common, as the sketch shows, are counted
+    first and joined, so that a tile of very many sets is pre-aggregated and its rows can be split. A tile needs a set that
+    may be the smaller of a linked pair, whose shared member stands further in front.
+    """
+    bands = F.sequence(band(F.col("n")), band(F.floor(F.col("n") * 100 / threshold).cast("bigint")))
+    front = ((F.col("n") - F.col("at")) * (100 + threshold) >= F.col("n") * 2 * threshold).cast("int")
+    each = offered.select("id", "n", bands.alias("bands"), (F.size("members") - F.col("common")).alias("rare"), F.posexplode("members").alias("at", "member"))
+    each = each.select("id", "n", "at", front.alias("front"), (F.col("at") >= F.col("rare")).alias("common"), "member", F.explode("bands").alias("band"))
+    each = each.select(F.xxhash64("member", "band").alias("key"), "id", "n", "at", "front", "common")
+    by = Window.partitionBy("key")
+    rare = each.where(~F.col("common")).select("key", "id", "n", "at", F.count("*").over(by).alias("c"), F.sum("front").over(by).alias("fronts"))
+    often = each.where("common")
+    counted = often.groupBy("key").agg(F.count("*").alias("c"), F.sum("front").alias("fronts")).where((F.col("c") > 1) & (F.col("fronts") > 0))
+    rare = rare.where((F.col("c") > 1) & (F.col("fronts") > 0))
+    return rare.select("key", "id", "n", "at", "c").unionByName(often.select("key", "id", "n", "at").join(counted, "key").select("key", "id", "n", "at", "c"))
+
+
+def may_meet(a: str, b: str, threshold: int) -> Column:
+    """Whether sets that share the members at these places, and none before, can link: what follows is enough on both sides."""
+    n_a, n_b = F.col(f"{a}n"), F.col(f"{b}n")
+    near = (n_a * 100 >= n_b * threshold) & (n_b * 100 >= n_a * threshold)
+    return near & (F.least(n_a - F.col(f"{a}at"), n_b - F.col(f"{b}at")) * (100 + threshold) >= (n_a + n_b) * threshold)
+
+
+def met_in_small_tiles(hits: DataFrame, threshold: int) -> DataFrame:
+    """(a, b), a < b: the pairs that tiles of at most TILE sets let meet. A set meets fewer than TILE others in a tile, whatever the input."""
+    small = hits.where(F.col("c") <= TILE)
+    left, right = (small.select("key", *[F.col(c).alias(f"{s}{c}") for c in ("id", "n", "at")]) for s in ("x_", "y_"))
+    met = left.join(right, "key").where((F.col("x_id") < F.col("y_id")) & may_meet("x_", "y_", threshold))
+    return met.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
+
+
+def within_bound(pairs: DataFrame, offered: DataFrame, threshold: int) -> DataFrame:
+    """The pairs whose bitmaps let them link."""
 
     @F.pandas_udf("boolean")
-    def check(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        @lru_cache(maxsize=64)
-        def made(text: str) -> tuple[np.ndarray, bytes]:
-            s = shingle_set(text, words)
-            return s, bitmap(s)
+    def check(n_a: pd.Series, x: pd.Series, n_b: pd.Series, y: pd.Series) -> pd.Series:
+        rows = zip(n_a.tolist(), x.tolist(), n_b.tolist(), y.tolist())
+        return pd.Series([bound(p, n, q, m) * (100 + threshold) >= threshold * (n + m) for n, p, m, q in rows], dtype=bool)
 
-        for left, right in batches:
-            out = []
-            for x, y in zip(left, right):
-                (s, p), (t, q) = made(x), made(y)
-                need = -(-threshold * (len(s) + len(t)) // (100 + threshold))
-                out.append(bound(p, len(s), q, len(t)) >= need and linked(s, t, threshold))
-            yield pd.Series(out, dtype=bool)
+    pairs = cut(pairs)
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    bits = kept(offered.select(F.col("id").alias("doc_id"), "n", "bits"), ids)
+    left, right = (bits.select(F.col("doc_id").alias(s), F.col("n").alias(f"{s}_n"), F.col("bits").alias(f"{s}_bits")) for s in ("a", "b"))
+    return pairs.join(left, "a").join(right, "b").where(check("a_n", "a_bits", "b_n", "b_bits")).select("a", "b")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
+    """The pairs (a, b) of ids whose sets link. Whole texts travel, which take less room than their hashes; sorted arrays are made where
+    a pair meets, once for all pairs of a text in a batch."""
 
+    @F.pandas_udf("boolean")
+    def check(left: pd.Series, right: pd.Series) -> pd.Series:
+        every = list(dict.fromkeys([*left, *right]))
+        made = dict(zip(every, shingle_sets(every, words)))
+        return pd.Series([linked(made[x], made[y], threshold) for x, y in zip(left, right)], dtype=bool)
+
+    pairs = cut(pairs)
     texts = kept(docs.select("doc_id", "text"), pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
@@ -236,14 +290,15 @@ def kept(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", how)
 
 
-def leaders(hits: DataFrame) -> DataFrame:
+def leaders(hits: DataFrame, threshold: int) -> DataFrame:
     """(a, b), a < b: each set with one partner, the one that leads most of its tiles. A tile is led by its busiest set, the one
     with most company in all its tiles: in a group of near copies that is the least altered, to which most others link."""
     busy = hits.groupBy("id").agg(F.sum("c").alias("busy"))
-    lead = hits.join(busy, "id").groupBy("key").agg(F.max_by("id", F.struct("busy", -F.col("id"))).alias("lead"))
-    met = hits.join(lead, "key").where(F.col("id") != F.col("lead")).select("id", "lead")
-    often = met.repartition("id").groupBy("id", "lead").count()
-    one = often.groupBy("id").agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("lead"))
+    lead = hits.join(busy, "id").groupBy("key").agg(F.min_by(F.struct("id", "n", "at"), F.struct(-F.col("busy"), "id")).alias("lead"))
+    lead = lead.select("key", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.at").alias("lead_at"))
+    met = hits.join(lead, "key").where((F.col("id") != F.col("lead")) & may_meet("", "lead_", threshold)).select("id", "lead")
+    often = met.groupBy("id", "lead").count()
+    one = often.groupBy("id").agg(F.min_by("lead", F.struct(-F.col("count"), "lead")).alias("lead"))
     return one.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
 
 
@@ -255,7 +310,7 @@ def cells(at: DataFrame) -> DataFrame:
     """
     part = at.groupBy("key", "component").agg(F.count("*").alias("n"))
     tile = part.groupBy("key").agg(
-        F.max_by("component", F.struct("n", -F.col("component"))).alias("home"), F.sum("n").alias("n"), F.max("n").alias("at_home"), F.count("*").alias("parts")
+        F.min_by("component", F.struct(-F.col("n"), "component")).alias("home"), F.sum("n").alias("n"), F.max("n").alias("at_home"), F.count("*").alias("parts")
     )
     tile = tile.where(F.col("parts") > 1).select("key", "home", F.ceil((F.col("n") - F.col("at_home")) / BLOCK).alias("others"), F.ceil(F.col("at_home") / BLOCK).alias("homes"))
     home, h = F.col("component") == F.col("home"), F.xxhash64("id")
@@ -289,29 +344,17 @@ def may_link(n: np.ndarray, component: np.ndarray, bits: list[bytes], left: np.n
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
-def near_pairs(at: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
+def near_pairs(at: DataFrame, offered: DataFrame, threshold: int) -> DataFrame:
     """(a, b), a < b: the pairs that share a tile, are in different components, and pass the bound. Each pair of blocks is compared in
     the task it is dealt to; a task holds one pair of blocks at a time."""
-
-    @F.pandas_udf("n long, bits binary")
-    def sketch(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(t, words) for t in texts]
-        return pd.DataFrame({"n": [len(s) for s in sets], "bits": [bitmap(s) for s in sets]}, columns=["n", "bits"])
+    kind = offered.schema["id"].dataType.simpleString()
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def found(rows: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
             ids, comp, n = rows["id"].to_numpy(), rows["component"].to_numpy(), rows["n"].to_numpy()
             block, low, high, bits = rows["block"].to_numpy(), rows["low"].to_numpy(), rows["high"].to_numpy(), rows["bits"].tolist()
             a, b = [], []
-            sizes, comps = n.tolist(), comp.tolist()
             for s, e in zip(starts.tolist(), ends.tolist()):
-                if e - s <= FEW and low[s] == high[s]:
-                    for i, j in combinations(range(s, e), 2):
-                        if comps[i] != comps[j] and sizes[i] * 100 >= sizes[j] * threshold and sizes[j] * 100 >= sizes[i] * threshold:
-                            if (100 + threshold) * bound(bits[i], sizes[i], bits[j], sizes[j]) >= threshold * (sizes[i] + sizes[j]):
-                                a.append(ids[i : i + 1])
-                                b.append(ids[j : j + 1])
-                    continue
                 if e - s < 2 or (comp[s:e] == comp[s]).all():
                     continue
                 every = np.arange(e - s)
@@ -324,7 +367,7 @@ def near_pairs(at: DataFrame, docs: DataFrame, words: int, threshold: int) -> Da
                     a.append(ids[s:e][x])
                     b.append(ids[s:e][y])
             if not a:
-                return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+                return pd.DataFrame({"a": ids[:0], "b": ids[:0]})
             x, y = np.concatenate(a), np.concatenate(b)
             return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
 
@@ -340,43 +383,44 @@ def near_pairs(at: DataFrame, docs: DataFrame, words: int, threshold: int) -> Da
             yield found(left_over, np.array([0]), np.array([len(left_over)]))
 
     open_ = cut(cells(at))
-    ids = open_.select(F.col("id").alias("doc_id")).distinct()
-    texts = kept(docs.select("doc_id", "text"), ids).groupBy("doc_id").agg(F.min("text").alias("text"))
-    sketches = texts.select(F.col("doc_id").alias("id"), sketch("text").alias("s")).select("id", "s.*")
-    dealt = open_.join(sketches, "id").select("key", "id", "component", "block", "n", "bits", F.explode("cells").alias("cell")).select("*", "cell.low", "cell.high").drop("cell")
+    bits = kept(offered.select(F.col("id").alias("doc_id"), "n", "bits"), open_.select(F.col("id").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "id")
+    dealt = open_.join(bits, "id").select("key", "id", "component", "block", "n", "bits", F.explode("cells").alias("cell")).select("*", "cell.low", "cell.high").drop("cell")
     dealt = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return dealt.mapInPandas(compare, "a long, b long").distinct()
+    return dealt.mapInPandas(compare, f"a {kind}, b {kind}").distinct()
 
 
 def classes(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of `docs`; component_id is the smallest id reachable by links.
 
-    Null texts and texts without words have empty sets and link with nothing, not even each other. Ids should be unique; rows with
-    a null id are kept, with their own size and a null component. An empty table gives an empty result.
+    Null texts and texts without words have empty sets and link with nothing, not even each other. Ids may be numbers or strings, in
+    their own order, and should be unique; rows with a null id are kept, with their own size and a null component. An empty table
+    gives an empty result.
     """
+    if not 50 <= threshold <= 100:
+        raise ValueError("threshold must be from 50 to 100")
     spark = docs.sparkSession
     rows = cut(set_rows(docs, words))
+    often, rows = frequencies(rows), rows.where(F.col("chunk").isNull())
     some = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     # equal sets are one, under their smallest id
     member = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     named = cut(some.join(member, ["d1", "d2"]).select("doc_id", "rep").distinct())
     copies = named.where(F.col("doc_id") != F.col("rep")).select("doc_id")
     first = kept(docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text"), copies, "left_anti")
-    # tiles with company: counted first, then joined, so that a tile of very many sets is pre-aggregated and its rows can be split
-    tiles, tiles_path = write_table(tile_rows(first, words, threshold, frequencies(rows)))
-    shared = tiles.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > 1)
-    hits, path = write_table(tiles.join(shared, "key").select("key", "id", "c"))
-    drop_table(spark, tiles_path)
-    pairs = cut(leaders(hits))
-    links = cut(verified(pairs, docs, words, threshold))
+    offered, offered_path = write_table(offered_rows(first, words, threshold, often))
+    hits, hits_path = write_table(tiles_with_company(offered, threshold))
+    large = hits.where(F.col("c") > TILE)
+    pairs = cut(met_in_small_tiles(hits, threshold).union(leaders(large, threshold)).distinct())
+    links = cut(verified(within_bound(pairs, offered, threshold), docs, words, threshold))
     comp = cut(components(links))
-    # sets of one tile that are still apart
+    # sets of one large tile that are still apart
     few = comp.count() <= BROADCAST_ROWS
-    at = hits.select("key", "id").distinct().join(F.broadcast(comp) if few else comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    more = cut(near_pairs(at, docs, words, threshold).join(pairs, ["a", "b"], "left_anti"))
-    drop_table(spark, path)
+    at = large.select("key", "id").distinct().join(F.broadcast(comp) if few else comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    more = cut(near_pairs(at, offered, threshold).join(pairs, ["a", "b"], "left_anti"))
     if more.count():
         comp = cut(components(links.union(verified(more, docs, words, threshold))))
+    drop_path(spark, hits_path)
+    drop_path(spark, offered_path)
     # a component's smallest representative is its smallest member, for a representative is the smallest of its copies
     whole = named.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
     whole = whole.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
