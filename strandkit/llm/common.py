@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from ..session import drop_path, shared_dir
 
 #: A word: a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,36 +18,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder named by spark.checkpoint.dir; sets one of our own only where none is set (tests, local mode)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or f"/tmp/checkpoints/{uuid.uuid4().hex}")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder, so a lost executor costs no recomputation and no result."""
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def write_table(df: DataFrame) -> tuple[DataFrame, str]:
     """Writes the frame as a compressed table in the shared checkpoint folder and reads it back: for large rows that are used twice."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    except BaseException:
+        drop_path(spark, path)
+        raise
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def drop_table(spark: SparkSession, path: str) -> None:
-    """Removes a table of write_table once nothing reads it any more."""
-    sc = spark.sparkContext
-    p = sc._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def held_out(doc_id: str, mod: int, remainder: int, equal: bool = True) -> Column:
     """Whether a row is outside the training rows; a null id is never learned from and counts as held out."""
     r = F.crc32(F.col(doc_id).cast("string")) % mod
@@ -60,7 +51,30 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
-def labelled_ids(labels: DataFrame, label: str, learn: Column, per_class: int | tuple[int, int]) -> DataFrame:
+def lowest(rows: DataFrame, by: str, key: str, most: dict) -> list[Row]:
+    """For each value of `by` that `most` names, its most[value] = (k, n) rows of lowest hash of `key`, where n is how many it has.
+
+    A sample that does not depend on partitioning. Hashes are spread evenly, so a limit on them leaves about twice the rows wanted, and
+    few rows meet anywhere; where it leaves too few, all rows of that value are sorted, each task handing on its first k.
+    """
+    h = F.xxhash64(key)
+    limit = F.lit(None).cast("long")
+    for value, (k, n) in most.items():
+        share = (2 * k + 100) / max(1, n)
+        limit = F.when(F.col(by) == value, F.lit(2**63 - 1 if share >= 1 else int(share * 2**64) - 2**63)).otherwise(limit)
+    got: dict = {value: [] for value in most}
+    for r in rows.withColumn("__hash", h).where(F.col("__hash") <= limit).collect():
+        got[r[by]].append(r)
+    out = []
+    for value, (k, n) in most.items():
+        found = got[value]
+        if len(found) < min(k, n):
+            found = rows.withColumn("__hash", h).where(F.col(by) == value).orderBy("__hash", key).limit(k).collect()
+        out += sorted(found, key=lambda r: (r["__hash"], r[key]))[:k]
+    return out
+
+
+def labelled_ids(labels: DataFrame, label: str, learn: Column, per_class: int | tuple[int, int]) -> list[Row]:
     """(doc_id, label): for each class the `per_class` ids (or as many as its element says) of lowest hash, a bounded sample that does not depend on partitioning.
 
     Rows with a null id or label do not count; where an id has several labels the largest holds.
@@ -72,14 +86,14 @@ def labelled_ids(labels: DataFrame, label: str, learn: Column, per_class: int |
         .agg(F.max(F.col(label).cast("int")).alias("label"))
     )
     zero, positive = per_class if isinstance(per_class, tuple) else (per_class, per_class)
-    w = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = one.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max(zero, positive))
-    return ranked.where(F.col("rn") <= F.when(F.col("label") == 1, positive).otherwise(zero)).drop("rn")
+    n = {r["label"]: r["count"] for r in one.groupBy("label").count().collect()}
+    return lowest(one, "label", "doc_id", {v: (k, n[v]) for v, k in ((0, zero), (1, positive)) if v in n})
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int | tuple[int, int]) -> list[tuple[str, int]]:
     """At most per_class (text, label) pairs of each class for training on the driver; the ids, at most as many, are broadcast."""
-    ids = labelled_ids(labels, label, learn, per_class)
+    chosen = [(r["doc_id"], r["label"]) for r in labelled_ids(labels, label, learn, per_class)]
+    ids = docs.sparkSession.createDataFrame(chosen, StructType([StructField("doc_id", labels.schema["doc_id"].dataType), StructField("label", IntegerType())]))
     rows = (
         docs.select("doc_id", "text")
         .where(F.col("text").isNotNull())
@@ -91,18 +105,19 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, learn: Column
     return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over undirected (a, b) edges, for every id of an edge.
 
-    Alternates large-star and small-star steps; each round is a grouped minimum and a join, checkpointed, and nothing but one
-    count comes to the driver. Self-loops and nulls count for nothing. An empty input gives an empty result.
+    Alternates large-star and small-star steps until the edges are stars, which takes about the square of the logarithm of the nodes
+    in rounds at most; each is a grouped minimum and a join, checkpointed, and nothing but counts come to the driver. Self-loops and
+    nulls count for nothing. An empty input gives an empty result.
     """
     e = cut(
         edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
-    for _ in range(rounds):
+    while True:
         # large star: every neighbour above a node goes to the node's smallest neighbour or itself
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -124,8 +139,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         e = step
         if n["n"] == n["k"] and inner == 0:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
         e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     )

@@ -1,24 +1,27 @@
 """Language identification by compression.
 
-Each language has a zstandard raw-content dictionary made of a bounded sample of its documents. A text, lower-cased and reduced to
-its letters, is compressed piece by piece with every dictionary; the language with the fewest bytes wins. Where the best two
-lie closer than a margin, the answer is marked as rejected.
+Each language has a zstandard raw-content dictionary made of a bounded sample of its documents, each of which gives as many bytes, from
+places spread over its whole text. A text, lower-cased and reduced to its letters, is compressed piece by piece with every dictionary;
+the language with the fewest bytes wins. Where the best two lie closer than a margin, the answer is marked as rejected.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, lowest
 
-#: Documents a language that the dictionary is made of, and bytes it may have.
-PER_LANG, DICT_BYTES = 300, 96 * 1024
+#: Languages that are learned, the commonest of the training rows; documents of each that its dictionary is made of; and bytes it may have.
+LANGS, PER_LANG, DICT_BYTES = 200, 300, 96 * 1024
+#: Bytes that a dictionary takes at one place of a text.
+GRAIN = 108
 #: Bytes that are compressed at once; every piece of a text is.
 PIECE = 16384
 MARGIN = 0.01
@@ -61,35 +64,29 @@ def predict(text: str | None, compressors: list) -> tuple[str, float, bool]:
     return lang, min(1.0, 0.5 + 5 * margin), margin < MARGIN
 
 
+def spread(raw: bytes, share: int) -> bytes:
+    """About `share` bytes of a text in runs of GRAIN, one from each equal part of it, at a place that the text's checksum chooses."""
+    if len(raw) <= share:
+        return raw
+    n = max(1, share // GRAIN)
+    size, part = share // n, len(raw) // n
+    at = zlib.crc32(raw) % (part - size + 1)
+    return b" ".join(raw[j * part + at : j * part + at + size] for j in range(n))
+
+
 def fit(docs: DataFrame, learn: Column, per_lang: int = PER_LANG) -> Model:
     """Takes the `per_lang` documents of lowest hash of each language among those that `learn` admits."""
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (
-        docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-        .select("doc_id", "lang")
-        .withColumn("rn", F.row_number().over(w))
-        .where(F.col("rn") <= per_lang)
-        .select("doc_id")
-        .distinct()
-    )
-    rows = (
-        docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-        .select("doc_id", "lang", "text")
-        .join(F.broadcast(ids), "doc_id")
-        .groupBy("doc_id", "lang")
-        .agg(F.min("text").alias("text"))
-        .collect()
-    )
-    common = docs.where(learn & F.col("lang").isNotNull()).groupBy("lang").count().collect()
-    texts: dict[str, list[bytes]] = {r["lang"]: [] for r in sorted(common, key=lambda r: (-r["count"], r["lang"]))}
-    for r in sorted(rows, key=lambda r: r["doc_id"]):
+    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    counts = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGS).collect()
+    texts: dict[str, list[bytes]] = {r["lang"]: [] for r in counts}
+    most = {r["lang"]: (min(per_lang, DICT_BYTES // GRAIN), r["count"]) for r in counts}
+    for r in lowest(rows, "lang", "doc_id", most) if most else []:
         texts[r["lang"]].append(letters(r["text"]))
     out = {}
     for lang, ts in texts.items():
-        share = max(64, DICT_BYTES // max(1, len(ts)))
-        raw = b" ".join(t[:share] for t in ts)  # each sampled document gives as much; the last bytes are the cheapest to refer to
+        raw = b" ".join(spread(t, DICT_BYTES // max(1, len(ts)) - 1) for t in ts)
         if raw.strip():
-            out[lang] = raw[-DICT_BYTES:]
+            out[lang] = raw
     return Model(out)
 
 
@@ -106,7 +103,9 @@ def predictor(model: Model):
 def identify(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for every row, repeated rows and null ids included.
 
-    Null texts and texts without a letter are `und` with score 0. A near tie keeps its best language and is marked in `rejected`.
+    Null texts and texts without a letter are `und` with score 0, and so is every text if there is nothing to learn from. A near tie
+    keeps its best language, of equal ones the commoner, and is marked in `rejected`. Rows of a null id are predicted, not learned from.
+    An empty table gives an empty result; other columns are ignored.
     """
     learn = ~held_out("doc_id", 5, 0)
     apply = predictor(fit(docs, learn, per_lang))
