@@ -1,9 +1,11 @@
 """Secret scans, with DataFrame functions only: a random forest over candidates, which removes the false positives.
 
 A candidate is a run of key characters (letters, digits, + / _ -) of twelve or more with a digit in it, one that starts as a known
-key does, whatever its digits, or a value of eight or more after a word such as password, with or without a sign and quotes. Features: length, shares and transitions of character classes, distinct characters, coverage by a
-dictionary of common letter groups, known key forms, paths and URLs around it, and neighbouring words. The forest learns from
-labelled findings, by default generated ones, on the driver, and runs as SQL conditions. No text leaves its row.
+key does, whatever its digits, a private key block, or a value of eight or more after a word such as password, with or without a sign,
+blanks and quotes. One pass of one pattern over a text finds them all. Features: length, shares and transitions of character classes,
+distinct characters, coverage by a dictionary of common letter groups, known key forms, paths and URLs around it, and neighbouring
+words. The forest learns from labelled findings, by default generated ones, on the driver, and runs as SQL conditions. No text leaves
+its row.
 """
 
 from __future__ import annotations
@@ -16,16 +18,20 @@ from pyspark.sql import functions as F
 
 from .common import fresh
 
-_RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{12})[A-Za-z+/_-]*+[0-9][A-Za-z0-9+/_-]*+={0,2}"
+_C = "[A-Za-z0-9+/_-]"
+_RUN = f"(?={_C}{{12}})[A-Za-z+/_-]*+[0-9]{_C}*+={{0,2}}"
 #: How known keys start.
 _PREFIX = "AKIA|ASIA|ghp_|gho_|ghs_|glpat-|xox[abps]-|sk_live_|sk-|rk_live_|AIza|eyJ|npm_|hf_"
-_KNOWN = f"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{{12}})(?:{_PREFIX})[A-Za-z0-9+/_-]++={{0,2}}"
-#: A word that announces a secret, with a part after it as in secret_key, passwordHash or tokens. Bounded, for a look-behind.
-_KEYWORD = "(?:(?i:password|passwd|passphrase|secret|token|(?:api|access|private)[ _-]?key|credential|bearer|pwd|(?<![a-z])(?:pass|o?auth))(?:(?i:s)|(?i:[ _-]?key)|[_-][A-Za-z0-9_-]{1,12}|[A-Z][A-Za-z0-9]{1,12})?)"
+_KNOWN = f"(?={_C}{{12}})(?:{_PREFIX}){_C}++={{0,2}}"
+_BLOCK = "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\\s\\\\]*+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
+#: A word that announces a secret, with a part after it as in secret_key, passwordHash or tokens.
+_KEYWORD = "(?:(?i:p(?:ass(?:w(?:or)?d|phrase)|wd|rivate[ _-]?key)|(?<![a-z])pass|secret|token|a(?:pi|ccess)[ _-]?key|credential|bearer|(?<![a-z])o?auth)(?:(?i:s)|(?i:[ _-]?key)|[_-][A-Za-z0-9_-]{1,12}|[A-Z][A-Za-z0-9]{1,12})?)"
 _SIGN = "[\"']?(?:\\s{0,3}(?:[:=]{1,2}|=>)\\s{0,3}|\\s{1,3}(?i:is)\\s{1,3}|\\s{1,3})[\"']?"
-#: The first look-behind is a cheap test that spares most places the second.
-_VALUE = f"(?<=[\\s=:>\"'])(?=[A-Za-z0-9+/_!@#$%^&*-]{{8}})(?<={_KEYWORD}{_SIGN})[A-Za-z0-9+/_!@#$%^&*-]++"
-CANDIDATE = f"{_VALUE}|{_KNOWN}|{_RUN}"
+_V = "[A-Za-z0-9+/_!@#$%^&*-]"
+#: From where a run begins to the sign after its word; a value that itself is such a word with a sign is none.
+_NAMED = f"{_C}*?{_KEYWORD}{_SIGN}"
+_VALUE = f"(?<=[\\s=:>\"'])(?={_V}{{8}})(?!{_NAMED}{_V}){_V}++"
+CANDIDATE = f"(?<!{_C})(?:({_NAMED})({_VALUE})|({_BLOCK}|{_KNOWN}|{_RUN}))"
 #: Marks around candidates: private-use characters. One that the text holds itself is escaped, so nothing is lost.
 _MARK, _CUT, _ESC = "\ue000", "\ue000\ue001", "\ue000\ue002"
 #: Fixed letter groups of common words of English, German, French and Spanish.
@@ -60,7 +66,7 @@ def features(c: Column, left: Column, right: Column) -> Column:
         F.size(F.array_distinct(F.split(c, ""))) / n,
         F.lit(1.0) - F.length(F.regexp_replace(F.lower(c), _GROUPS, "")) / n,
         flag(c.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")),
-        flag(c.rlike(f"^(?:{_PREFIX})")),
+        flag(c.rlike(f"^(?:{_PREFIX}|-----BEGIN)")),
         flag(c.rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$")),
         flag(c.rlike("^[0-9]{4}[-/][0-9]{1,2}[-/]")),
         flag(c.rlike("^[0-9+/_-]+$")),
@@ -80,7 +86,7 @@ def features(c: Column, left: Column, right: Column) -> Column:
 def candidates(text: Column) -> Column:
     """The text in turns of context and candidate: elements 1, 3, 5 … (from 0) are candidates. Null for null."""
     safe = F.replace(text, F.lit(_MARK), F.lit(_ESC))
-    return F.split(F.regexp_replace(safe, f"({CANDIDATE})", f"{_CUT}$1{_CUT}"), _CUT)
+    return F.split(F.regexp_replace(safe, CANDIDATE, f"$1{_CUT}$2$3{_CUT}"), _CUT)
 
 
 def plain(piece: Column) -> Column:
@@ -110,7 +116,7 @@ class Findings:
         every, n = up + low + dig, lambda a, b: int(self.r.integers(a, b))
         key = self.one("password", "passwd", "secret", "token", "api_key", "api-key", "access_key", "secret_key", "auth_token", "client_secret", "API_KEY", "pwd", "Token", "bearer", "passphrase", "DB_PASSWORD", "private_key", "secretKey", "credentials", "Password")
         sign, q = self.one("=", ": ", " = ", ":", " := ", " => "), self.one('"', "'", "")
-        kind = (0, 1, 2, 3, 4, 5, 6, 7, 8, 8, 8, 8, 9, 9, 9, 10)[n(0, 16)]
+        kind = (0, 1, 2, 3, 4, 5, 6, 7, 8, 8, 8, 8, 9, 9, 9, 9, 10, 11)[n(0, 18)]
         if kind in (1, 2, 8, 9):
             if self.r.random() < 0.15:
                 key, sign = self.one('"', "'") + key, self.one('": ', '" : ', "': ")
@@ -124,6 +130,9 @@ class Findings:
         if kind == 9:
             c = self.one("".join(self.one(*WORDS) for _ in range(n(2, 5))), "-".join(self.one(*WORDS) for _ in range(n(3, 5))), self.of(up + low, n(10, 30)), self.of(low, n(10, 30)))
             return self.prose() + key + self.one("=", " = ", ":", ": ") + q, (c + self.of(low, 14))[: max(14, len(c))], q + " " + self.prose()
+        if kind == 11:
+            what, lines = self.one("RSA ", "EC ", "OPENSSH ", ""), "\n".join(self.of(every + "+/", 64) for _ in range(n(1, 8)))
+            return self.prose(), f"-----BEGIN {what}PRIVATE KEY-----\n{lines}\n-----END {what}PRIVATE KEY-----", " " + self.prose()
         if kind == 10:
             return self.prose() + q, self.one("AKIA" + self.of(up, 16), "ASIA" + self.of(up, 16), self.one("ghp_", "gho_") + self.of(up + low, 36), self.one("sk_live_", "sk-", "npm_", "hf_") + self.of(up + low, n(20, 44))), q + " " + self.prose()
         if kind == 0:
@@ -235,7 +244,7 @@ def fit(spark: SparkSession, findings: list[tuple[str, str, str, int]] | None =
 
 def scored(text: Column, trees: list) -> Column:
     """An array of structs (piece, score): every piece of the text, with the forest's score for candidates and null for context."""
-    bound = F.array(F.when(text.rlike(CANDIDATE), candidates(text)))
+    bound = F.array(candidates(text))  # the array of one binds the pieces to a variable, so they are made once
 
     def piece(p: Column, i: Column, all_: Column) -> Column:
         f = F.array(features(plain(p), plain(F.get(all_, i - 1)), plain(F.coalesce(F.get(all_, i + 1), F.lit("")))))
@@ -251,7 +260,7 @@ def scan(docs: DataFrame, threshold: float = 0.5, trees: list | None = None) ->
     Null and empty texts have none. Repeated rows give repeated findings; a null id stays null. `is_secret` is the forest's decision.
     """
     trees = fit(docs.sparkSession) if trees is None else trees
-    parts = docs.where(F.col("text").rlike(CANDIDATE)).select("doc_id", F.posexplode(scored(F.col("text"), trees)).alias("i", "p"))
+    parts = docs.select("doc_id", F.posexplode(scored(F.col("text"), trees)).alias("i", "p"))
     return parts.where(F.col("i") % 2 == 1).select(
         "doc_id",
         F.expr("(i + 1) div 2").cast("int").alias("ordinal"),
