@@ -14,7 +14,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WIDTH = 64
@@ -198,20 +198,38 @@ def text_store(docs: DataFrame) -> DataFrame:
     return docs.select(store_text()("text").alias("s")).select("s.*").groupBy("digest").agg(F.first("media").alias("media"))
 
 
-def document_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature for every row.
+def _escaped(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
-    Each document is a page with one media reference, by the digest of its padded payload; references and captions are parsed
-    back out of the HTML, and the digest join resolves them to what is read back from the store. Null is the empty text: one row
-    of 64 zero samples. Repeated rows resolve to the same stored payload.
-    """
-    raw = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
+
+def pages_of(docs: DataFrame) -> DataFrame:
+    """doc_id, html: every document as a page: its lines as paragraphs in order, and after the first of them a figure that refers to the
+    document's payload by digest, with the payload's unpadded bytes as caption. Null is the empty text: a figure alone."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    raw = F.encode(text, "UTF-8")
     n = F.octet_length(raw)
     padded = F.when(n == 0, F.lit(bytes(WIDTH))).when(n % WIDTH == 0, raw).otherwise(F.rpad(raw, (n + (WIDTH - n % WIDTH)).cast("int"), F.lit(b"\x00")))
-    pages = docs.select(
-        "doc_id",
-        F.concat(F.lit('<figure><img data-digest="'), F.sha2(padded, 256), F.lit('"><figcaption>'), n.cast("string"), F.lit(" bytes</figcaption></figure>")).alias("html"),
-    )
-    seq = interleave(pages, ["doc_id"]).where(F.col("kind") == "image").withColumn("n_bytes", F.regexp_extract("caption", r"^(\d+)", 1).cast("long"))
+    figure = F.concat(F.lit('<figure><img data-digest="'), F.sha2(padded, 256), F.lit('"><figcaption>'), n.cast("string"), F.lit(" bytes</figcaption></figure>"))
+    safe = _escaped(text)
+    first, rest = F.substring_index(safe, "\n", 1), F.substring(safe, F.length(F.substring_index(safe, "\n", 1)) + 2, F.length(safe))
+    body = F.concat(F.lit("<p>"), first, F.lit("</p>"), figure, F.lit("<p>"), F.replace(rest, F.lit("\n"), F.lit("</p><p>")), F.lit("</p>"))
+    return docs.select("doc_id", F.concat(F.lit("<article>"), body, F.lit("</article>")).alias("html"))
+
+
+def document_media(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, position, caption, n_elements, text_crc32
+    for every row.
+
+    Each document is a page of its paragraphs and one media reference among them, by the digest of its padded payload. The sequence is
+    parsed back out of the HTML; the digest join resolves the reference to what is read back from the store, and the reference's position,
+    caption and neighbours stay with it: n_elements counts the page's elements and text_crc32 is the checksum of its text elements, one
+    a line. Null is the empty text: one row of 64 zero samples. Repeated rows resolve to the same stored payload; so do null and empty
+    texts, and a digest that very many rows share is one stored row, joined to rows that can be split.
+    """
+    seq = pages_of(docs).select("doc_id", elements()("html").alias("e"))
+    lines = F.array_join(F.transform(F.filter("e", lambda x: x["kind"] == "text"), lambda x: x["text"]), "\n")
+    seq = seq.select("doc_id", F.size("e").alias("n_elements"), F.crc32(F.encode(lines, "UTF-8")).alias("text_crc32"), F.posexplode("e").alias("position", "x"))
+    seq = seq.where(F.col("x.kind") != "text").select("doc_id", "position", "x.digest", "x.caption", F.regexp_extract("x.caption", r"^(\d+)", 1).cast("long").alias("n_bytes"), "n_elements", "text_crc32")
     read = text_store(docs).select("digest", features()("media").alias("f")).select("digest", "f.*")
-    return resolve(seq, read).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_elements", "text_crc32"]
+    return resolve(seq, read).select(*names)
