@@ -71,8 +71,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, thre
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     sh = shingles(F.col("text"), lengths)
     candidates = cut(rows.select("doc_id", F.explode(sh).alias("shingle")).join(side(sketches(items, threshold)), "shingle").select("doc_id", "item_id").distinct())
+    few = candidates.count() <= BROADCAST_ROWS  # and so are their documents
     ids = candidates.select("doc_id").distinct()
-    few = ids.count() <= BROADCAST_ROWS
     again = rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("doc_id", F.explode(F.array_distinct(sh)).alias("shingle"))
     met = again.join(side(full), "shingle").join(F.broadcast(candidates) if few else candidates, ["doc_id", "item_id"])
     shared = met.groupBy("doc_id", "item_id").agg(F.countDistinct("shingle").alias("n_shared"))
