@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import ExitStack, suppress
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -24,16 +30,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def write_table(df: DataFrame) -> tuple[DataFrame, str]:
-    """Writes the frame as a compressed table in the shared checkpoint folder and reads it back: for large rows that are used twice."""
+def write_table(df: DataFrame, until: ExitStack) -> DataFrame:
+    """Writes the frame as a compressed table in the shared checkpoint folder and reads it back: for large rows that are used twice. The
+    table is removed when `until` closes, however it does."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    except BaseException:
-        drop_path(spark, path)
-        raise
-    return spark.read.schema(df.schema).parquet(path), path
+    until.callback(drop_path, spark, path)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def tidy() -> None:
+    """Gives free memory of this process back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """For a function over batches: when it ends, its worker gives free memory back. Workers are used again and would else hold what
+    their largest batch took, beside whatever runs next."""
+
+    @wraps(f)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from f(batches)
+        finally:
+            tidy()
+
+    return run
 
 
 def held_out(doc_id: str, mod: int, remainder: int, equal: bool = True) -> Column:

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 #: Comments, declarations, and tags. A value is quoted only where the quote follows the sign; any other quote is part of a name or value.
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:"[^"]*"|'[^']*')?)*+)(>|\Z)""", re.S)
 _ATTR = re.compile(r"""(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -464,6 +466,7 @@ def extract_many(pages: list[str | None], trees: Trees) -> list[str]:
 
 def extractor(trees: Trees, block: int = 256):
     @F.pandas_udf("string")
+    @tidied
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for pages in batches:
             rows = list(pages)

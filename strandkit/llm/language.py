@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, lowest
+from .common import held_out, lowest, tidied
 
 #: Languages that are learned, the commonest of the training rows; documents of each that its dictionary is made of; and bytes it may have.
 LANGS, PER_LANG, DICT_BYTES = 200, 300, 96 * 1024
@@ -92,6 +92,7 @@ def fit(docs: DataFrame, learn: Column, per_lang: int = PER_LANG) -> Model:
 
 def predictor(model: Model):
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
+    @tidied
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         compressors = model.compressors()
         for texts in batches:

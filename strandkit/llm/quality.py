@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_texts
+from .common import held_out, labelled_texts, tidied
 
 #: Labelled documents of each class that are fitted and vote.
 PER_CLASS = 700
@@ -107,6 +107,7 @@ def train(samples: list[tuple[str, int]]) -> Model | None:
 
 def scorer(model: Model | None):
     @F.pandas_udf("double")
+    @tidied
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             out = np.ones(len(texts))

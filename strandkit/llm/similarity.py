@@ -12,6 +12,7 @@ overlap from above, and only pairs that may link go on to the exact intersection
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pandas as pd
@@ -19,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import drop_path
-from .common import components, cut, fresh, write_table
+from .common import components, cut, fresh, tidied, write_table
 
 WORDS, THRESHOLD = 5, 80
 #: Sets up to which a tile's pairs are met by a join of ids; and members of a block in larger ones, about.
@@ -31,8 +31,8 @@ BROADCAST_ROWS = 500_000
 SLOT_BITS, CHUNK = 17, 1 << 10
 #: A member may be common if its slot has more than so many times the mean; others hold at most that share of all members.
 COMMON = 4
-#: Bytes of texts that are hashed at once.
-PIECE = 1 << 20
+#: Bytes of texts that are hashed at once; and pairs that are checked at once.
+PIECE, PAIRS = 1 << 18, 256
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BASE = 0xD6E8FEB86659FD93
 _BYTES = np.random.default_rng(20).integers(1, 1 << 64, 256, np.uint64)
@@ -53,7 +53,7 @@ def slots_of(s: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """At least n powers of the base and of its inverse, modulo 2^64."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, PIECE + (1 << 16))
+        size = max(n, 2 * PIECE + (1 << 16))
         _POWERS[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)]) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
     return _POWERS[0], _POWERS[1]
 
@@ -155,6 +155,7 @@ def set_rows(docs: DataFrame, words: int) -> DataFrame:
     the sketch's slots, as many however large the task."""
     ids = docs.schema["doc_id"].dataType.simpleString()
 
+    @tidied
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -199,6 +200,7 @@ def offered_rows(docs: DataFrame, words: int, threshold: int, often: np.ndarray)
     limit = max(TILE, COMMON * float(often.mean()))
 
     @F.pandas_udf("n long, members array<long>, common int, bits binary")
+    @tidied
     def offer(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             out = []
@@ -224,7 +226,7 @@ def tiles_with_company(offered: DataFrame, threshold: int) -> DataFrame:
     may be the smaller of a linked pair, whose shared member stands further in front.
     """
     bands = F.sequence(band(F.col("n")), band(F.floor(F.col("n") * 100 / threshold).cast("bigint")))
-    front = ((F.col("n") - F.col("at")) * (100 + threshold) >= F.col("n") * 2 * threshold).cast("int")
+    front = fronts(threshold).cast("int")
     each = offered.select("id", "n", bands.alias("bands"), (F.size("members") - F.col("common")).alias("rare"), F.posexplode("members").alias("at", "member"))
     each = each.select("id", "n", "at", front.alias("front"), (F.col("at") >= F.col("rare")).alias("common"), "member", F.explode("bands").alias("band"))
     each = each.select(F.xxhash64("member", "band").alias("key"), "id", "n", "at", "front", "common")
@@ -255,9 +257,11 @@ def within_bound(pairs: DataFrame, offered: DataFrame, threshold: int) -> DataFr
     """The pairs whose bitmaps let them link."""
 
     @F.pandas_udf("boolean")
-    def check(n_a: pd.Series, x: pd.Series, n_b: pd.Series, y: pd.Series) -> pd.Series:
-        rows = zip(n_a.tolist(), x.tolist(), n_b.tolist(), y.tolist())
-        return pd.Series([bound(p, n, q, m) * (100 + threshold) >= threshold * (n + m) for n, p, m, q in rows], dtype=bool)
+    @tidied
+    def check(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for columns in batches:
+            rows = zip(*(c.tolist() for c in columns))
+            yield pd.Series([bound(p, n, q, m) * (100 + threshold) >= threshold * (n + m) for n, p, m, q in rows], dtype=bool)
 
     pairs = cut(pairs)
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
@@ -268,13 +272,19 @@ def within_bound(pairs: DataFrame, offered: DataFrame, threshold: int) -> DataFr
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
     """The pairs (a, b) of ids whose sets link. Whole texts travel, which take less room than their hashes; sorted arrays are made where
-    a pair meets, once for all pairs of a text in a batch."""
+    a pair meets, once for some pairs of a text that follow each other."""
 
     @F.pandas_udf("boolean")
-    def check(left: pd.Series, right: pd.Series) -> pd.Series:
-        every = list(dict.fromkeys([*left, *right]))
-        made = dict(zip(every, shingle_sets(every, words)))
-        return pd.Series([linked(made[x], made[y], threshold) for x, y in zip(left, right)], dtype=bool)
+    @tidied
+    def check(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for left, right in batches:
+            out: list[bool] = []
+            for at in range(0, len(left), PAIRS):
+                some = list(zip(left[at : at + PAIRS], right[at : at + PAIRS]))
+                every = list(dict.fromkeys(x for pair in some for x in pair))
+                made = dict(zip(every, shingle_sets(every, words)))
+                out += [linked(made[x], made[y], threshold) for x, y in some]
+            yield pd.Series(out, dtype=bool)
 
     pairs = cut(pairs)
     texts = kept(docs.select("doc_id", "text"), pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
@@ -302,26 +312,55 @@ def leaders(hits: DataFrame, threshold: int) -> DataFrame:
     return one.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
 
 
-def cells(at: DataFrame) -> DataFrame:
-    """key, id, component, block, cell (low, high): the pairs of blocks a tile's member takes part in. Rows of `at`: key, id, component.
+def fronts(threshold: int) -> Column:
+    """Whether a set may be the smaller, or as large, of a linked pair whose first shared member stands at this place. Of a linked pair
+    one set at least is such a one."""
+    return (F.col("n") - F.col("at")) * (100 + threshold) >= F.col("n") * 2 * threshold
 
-    A tile of one component has nothing to compare. In the others the largest component's members need not meet each other, so
-    blocks of the rest meet each other and the blocks of the largest.
+
+def cells(at: DataFrame, threshold: int) -> DataFrame:
+    """key, id, n, at, component, block, cell (low, high): the pairs of blocks a tile's member takes part in. Rows of `at`: key, id, n, at,
+    component.
+
+    A tile of one component has nothing to compare. Members of its largest component need not meet each other, nor need sets that
+    share the tile's member too far behind to be the smaller of a pair. So blocks of four kinds are laid out one after another: front
+    and other sets of the rest, then front and other sets of the largest component, and only kinds that have something to compare meet.
+    A tile of a common passage that all its sets hold behind parts of their own has no front sets, and is not dealt at all.
     """
-    part = at.groupBy("key", "component").agg(F.count("*").alias("n"))
+    at = at.withColumn("front", fronts(threshold).cast("int"))
+    part = at.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("front").alias("f"))
     tile = part.groupBy("key").agg(
-        F.min_by("component", F.struct(-F.col("n"), "component")).alias("home"), F.sum("n").alias("n"), F.max("n").alias("at_home"), F.count("*").alias("parts")
+        F.min_by(F.struct("component", "n", "f"), F.struct(-F.col("n"), "component")).alias("home"), F.sum("n").alias("n"), F.sum("f").alias("f"), F.count("*").alias("parts")
+    )
+
+    def blocks(n: Column) -> Column:
+        return F.ceil(n / BLOCK)
+
+    home_f, home_o = F.col("home.f"), F.col("home.n") - F.col("home.f")
+    rest_f = F.col("f") - home_f
+    tile = tile.where("parts > 1").select(
+        "key", F.col("home.component").alias("home"), blocks(rest_f).alias("b0"), blocks(F.col("n") - F.col("f") - home_o).alias("b1"), blocks(home_f).alias("b2"), blocks(home_o).alias("b3")
     )
-    tile = tile.where(F.col("parts") > 1).select("key", "home", F.ceil((F.col("n") - F.col("at_home")) / BLOCK).alias("others"), F.ceil(F.col("at_home") / BLOCK).alias("homes"))
-    home, h = F.col("component") == F.col("home"), F.xxhash64("id")
-    block = F.when(home, F.col("others") + F.pmod(h, F.col("homes"))).otherwise(F.pmod(h, F.col("others")))
-    partners = F.sequence(F.lit(0).cast("long"), F.when(home, F.col("others") - 1).otherwise(F.col("others") + F.col("homes") - 1))
+    tile = tile.where("b0 > 0 OR (b1 > 0 AND b2 > 0)")
+    home, front, h = F.col("component") == F.col("home"), F.col("front") == 1, F.xxhash64("id")
+    start = [F.lit(0).cast("long"), F.col("b0"), F.col("b0") + F.col("b1"), F.col("b0") + F.col("b1") + F.col("b2"), F.col("b0") + F.col("b1") + F.col("b2") + F.col("b3")]
+
+    def span(*kinds: int) -> Column:
+        none = F.array().cast("array<bigint>")
+        return F.concat(*[F.when(start[k + 1] > start[k], F.sequence(start[k], start[k + 1] - 1)).otherwise(none) for k in kinds])
+
+    def place(k: int) -> Column:
+        return start[k] + F.pmod(h, F.greatest(start[k + 1] - start[k], F.lit(1)))
+
+    block = F.when(~home & front, place(0)).when(~home, place(1)).when(front, place(2)).otherwise(place(3))
+    partners = F.when(~home & front, span(0, 1, 2, 3)).when(~home, span(0, 2)).when(front, span(0, 1)).otherwise(span(0))
     pair = F.transform(partners, lambda k: F.struct(F.least(k, F.col("block")).alias("low"), F.greatest(k, F.col("block")).alias("high")))
-    return at.join(tile, "key").withColumn("block", block).select("key", "id", "component", "block", pair.alias("cells"))
+    return at.join(tile, "key").withColumn("block", block).select("key", "id", "n", "at", "component", "block", pair.alias("cells"))
 
 
-def may_link(n: np.ndarray, component: np.ndarray, bits: list[bytes], left: np.ndarray, right: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs, of one of `left` and one of `right`, that are in different components and whose bounds let them link."""
+def may_link(n: np.ndarray, rest: np.ndarray, component: np.ndarray, bits: list[bytes], left: np.ndarray, right: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs, of one of `left` and one of `right`, that are in different components and whose bounds let them link.
+    `rest`: the members from the tile's on."""
     length = np.array([len(x) for x in bits])
     size = int(length.min())
     rows = []
@@ -332,7 +371,7 @@ def may_link(n: np.ndarray, component: np.ndarray, bits: list[bytes], left: np.n
     ones, out = np.bitwise_count(m).sum(1, dtype=np.int64), []
     for i in left:
         k = right[component[right] != component[i]]
-        k = k[(n[i] * 100 >= n[k] * threshold) & (n[k] * 100 >= n[i] * threshold)]
+        k = k[(n[i] * 100 >= n[k] * threshold) & (n[k] * 100 >= n[i] * threshold) & (np.minimum(rest[i], rest[k]) * (100 + threshold) >= threshold * (n[i] + n[k]))]
         if len(k):
             both = np.bitwise_count(m[k] & m[i]).sum(1, dtype=np.int64)
             most = np.minimum(n[i] - ones[i] + both, n[k] - ones[k] + both)
@@ -349,9 +388,11 @@ def near_pairs(at: DataFrame, offered: DataFrame, threshold: int) -> DataFrame:
     the task it is dealt to; a task holds one pair of blocks at a time."""
     kind = offered.schema["id"].dataType.simpleString()
 
+    @tidied
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def found(rows: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
             ids, comp, n = rows["id"].to_numpy(), rows["component"].to_numpy(), rows["n"].to_numpy()
+            rest = n - rows["at"].to_numpy()
             block, low, high, bits = rows["block"].to_numpy(), rows["low"].to_numpy(), rows["high"].to_numpy(), rows["bits"].tolist()
             a, b = [], []
             for s, e in zip(starts.tolist(), ends.tolist()):
@@ -363,7 +404,7 @@ def near_pairs(at: DataFrame, offered: DataFrame, threshold: int) -> DataFrame:
                 else:
                     left, right = every[block[s:e] == low[s]], every[block[s:e] == high[s]]
                 if len(left) and len(right):
-                    x, y = may_link(n[s:e], comp[s:e], bits[s:e], left, right, threshold)
+                    x, y = may_link(n[s:e], rest[s:e], comp[s:e], bits[s:e], left, right, threshold)
                     a.append(ids[s:e][x])
                     b.append(ids[s:e][y])
             if not a:
@@ -382,9 +423,9 @@ def near_pairs(at: DataFrame, offered: DataFrame, threshold: int) -> DataFrame:
         if left_over is not None:
             yield found(left_over, np.array([0]), np.array([len(left_over)]))
 
-    open_ = cut(cells(at))
-    bits = kept(offered.select(F.col("id").alias("doc_id"), "n", "bits"), open_.select(F.col("id").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "id")
-    dealt = open_.join(bits, "id").select("key", "id", "component", "block", "n", "bits", F.explode("cells").alias("cell")).select("*", "cell.low", "cell.high").drop("cell")
+    open_ = cut(cells(at, threshold))
+    bits = kept(offered.select(F.col("id").alias("doc_id"), "bits"), open_.select(F.col("id").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "id")
+    dealt = open_.join(bits, "id").select("key", "id", "n", "at", "component", "block", "bits", F.explode("cells").alias("cell")).select("*", "cell.low", "cell.high").drop("cell")
     dealt = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     return dealt.mapInPandas(compare, f"a {kind}, b {kind}").distinct()
 
@@ -398,7 +439,6 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) ->
     """
     if not 50 <= threshold <= 100:
         raise ValueError("threshold must be from 50 to 100")
-    spark = docs.sparkSession
     rows = cut(set_rows(docs, words))
     often, rows = frequencies(rows), rows.where(F.col("chunk").isNull())
     some = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
@@ -407,20 +447,19 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) ->
     named = cut(some.join(member, ["d1", "d2"]).select("doc_id", "rep").distinct())
     copies = named.where(F.col("doc_id") != F.col("rep")).select("doc_id")
     first = kept(docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text"), copies, "left_anti")
-    offered, offered_path = write_table(offered_rows(first, words, threshold, often))
-    hits, hits_path = write_table(tiles_with_company(offered, threshold))
-    large = hits.where(F.col("c") > TILE)
-    pairs = cut(met_in_small_tiles(hits, threshold).union(leaders(large, threshold)).distinct())
-    links = cut(verified(within_bound(pairs, offered, threshold), docs, words, threshold))
-    comp = cut(components(links))
-    # sets of one large tile that are still apart
-    few = comp.count() <= BROADCAST_ROWS
-    at = large.select("key", "id").distinct().join(F.broadcast(comp) if few else comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    more = cut(near_pairs(at, offered, threshold).join(pairs, ["a", "b"], "left_anti"))
-    if more.count():
-        comp = cut(components(links.union(verified(more, docs, words, threshold))))
-    drop_path(spark, hits_path)
-    drop_path(spark, offered_path)
+    with ExitStack() as tables:
+        offered = write_table(offered_rows(first, words, threshold, often), tables)
+        hits = write_table(tiles_with_company(offered, threshold), tables)
+        large = hits.where(F.col("c") > TILE)
+        pairs = cut(met_in_small_tiles(hits, threshold).union(leaders(large, threshold)).distinct())
+        links = cut(verified(within_bound(pairs, offered, threshold), docs, words, threshold))
+        comp = cut(components(links))
+        # sets of one large tile that are still apart
+        few = comp.count() <= BROADCAST_ROWS
+        at = large.select("key", "id", "n", "at").distinct().join(F.broadcast(comp) if few else comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        more = cut(near_pairs(at, offered, threshold).join(pairs, ["a", "b"], "left_anti"))
+        if more.count():
+            comp = cut(components(links.union(verified(more, docs, words, threshold))))
     # a component's smallest representative is its smallest member, for a representative is the smallest of its copies
     whole = named.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
     whole = whole.groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
