@@ -1,10 +1,11 @@
 """Toxicity: a bag of subword embeddings averaged into a linear softmax.
 
-Every word is the mean of the vectors of its character n-grams, word boundaries included; a window of words is the mean of its words; a linear softmax over that mean tells toxic from clean. Table and softmax are trained
-jointly with Adam in numpy on the driver, from a bounded sample. A word never seen, such as a misspelling, is made of n-grams that
-were seen. Windows overlap and cover the whole word sequence, later uses of a word included; within one a word counts once. A
-document's score is the calibrated score of its most toxic window, so a few words in a very long text still count.
-Since the softmax is linear in the mean, a word adds a fixed number to the logit; workers keep these numbers per word.
+Every word is the mean of the vectors of its character n-grams, word boundaries included; a window of words is the mean of its distinct
+words; a linear softmax over that mean tells toxic from clean. Table and softmax are trained jointly with Adam in numpy on the driver,
+from a bounded sample of labelled documents. A word never seen, such as a misspelling, is made of n-grams that were seen. Windows overlap
+and cover the whole word sequence. A document is as toxic as its most toxic window, in training too, so that a label is not held
+against the clean windows beside a toxic one, and a passage in a very long text still counts. A document of no more words than a window
+is one window. Since the softmax is linear in the mean, a word adds a fixed number to the logit; workers keep these numbers per word.
 """
 
 from __future__ import annotations
@@ -18,21 +19,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, held_out, labelled_texts
+from .common import fresh, held_out, labelled_texts, tidied, tidy
 
 _WORD = re.compile(r"[^\W_]+")
-DIM, WINDOW, PAD, N_LOW, N_HIGH = 4, 10, 4, 3, 5
+DIM, WINDOW, PAD, N_LOW, N_HIGH = 4, 250, 30, 3, 5
 #: Words between the starts of two windows: neighbours share the rest, so no edge splits a short cluster.
-STRIDE = 5
-#: Labelled documents that training may see: clean and toxic ones. A fifth of them only set the calibration.
+STRIDE = WINDOW // 2
+#: Labelled documents that training may see, whole: clean and toxic ones. A fifth of them only set the calibration.
 PER_CLASS = (2000, 900)
-#: Windows of one clean labelled document that training may see, drawn at random; of a toxic one it sees all.
-PER_DOC = 24
-#: All windows of one document together weigh no more in training than so many.
-LEVEL = 60
 #: An n-gram gets a vector if this many of the training documents hold it.
 LEAST_DOCS = 2
-DECAY = 1e-5
+#: Of training: rounds over all windows, rate, and what every round takes from a vector.
+STEPS, RATE, DECAY = 120, 0.2, 4e-3
 
 
 def words(text: str | None) -> list[str]:
@@ -47,50 +45,117 @@ def pieces(word: str) -> list[str]:
     return [s[i : i + k] for k in range(N_LOW, min(N_HIGH, n) + 1) for i in range(n - k + 1)]
 
 
+def _step(h: np.ndarray, code: np.ndarray) -> np.ndarray:
+    h = (h ^ code) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+def piece_hash(piece: str) -> int:
+    """A number for an n-gram, from its characters."""
+    h = np.full(1, len(piece), np.uint64)
+    for c in piece:
+        h = _step(h, np.uint64(ord(c)))
+    return int(h[0])
+
+
+def piece_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all n-grams of all words, and the word that each is of."""
+    codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    lengths = np.array([len(w) + 2 for w in words], np.int64)
+    ends, owner = np.cumsum(lengths), np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+    hashes, owners = [], []
+    for k in range(N_LOW, N_HIGH + 1):
+        n = len(codes) - k + 1
+        if n <= 0:
+            break
+        whole = np.flatnonzero(np.arange(n) + k <= ends[owner[:n]])
+        h = np.full(len(whole), k, np.uint64)
+        for i in range(k):
+            h = _step(h, codes[whole + i])
+        hashes.append(h)
+        owners.append(owner[whole])
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    return (np.concatenate(hashes), np.concatenate(owners)) if hashes else none
+
+
 @dataclass
 class Model:
-    """gram: what each n-gram adds to the logit of its word; bias, slope and shift: of the window softmax and of the calibration."""
+    """gram, add: the known n-grams by number, ascending, and what each adds to the logit of its word; bias, slope and shift: of the window
+    softmax and of the calibration."""
 
-    gram: dict[str, float]
+    gram: np.ndarray
+    add: np.ndarray
     bias: float
     slope: float
     shift: float
 
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """What n-grams add; 0 for unknown ones."""
+        if not len(self.gram):
+            return np.zeros(len(hashes))
+        at = np.minimum(np.searchsorted(self.gram, hashes), len(self.gram) - 1)
+        return np.where(self.gram[at] == hashes, self.add[at], 0.0)
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """What each word adds: the mean of its n-grams."""
+        h, owner = piece_hashes(words)
+        return np.bincount(owner, self.of(h), minlength=len(words)) / np.maximum(1, np.bincount(owner, minlength=len(words)))
+
     def word(self, w: str) -> float:
-        grams = pieces(w)
-        get = self.gram.get
-        return sum([get(g, 0.0) for g in grams]) / len(grams)
+        return float(self.of(np.array([piece_hash(g) for g in pieces(w)], np.uint64)).mean())
+
+
+class _Ids(dict):
+    """Numbers words as they come; `new` lists those without a score yet."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, w: str) -> int:
+        i = self[w] = len(self)
+        self.new.append(w)
+        return i
 
 
-def _starts(n: int) -> np.ndarray:
-    """Where the windows of n words begin; the last one ends with the text."""
+class Scorer:
+    """Logits of texts, with the scores of up to KEPT words and a block's at hand."""
+
+    KEPT, BLOCK = 250_000, 512
+
+    def __init__(self, model: Model):
+        self.model, self.ids, self.scores = model, _Ids(), np.zeros(0)
+
+    def logits(self, texts: list[str | None]) -> np.ndarray:
+        out = np.zeros(len(texts))
+        for a in range(0, len(texts), self.BLOCK):
+            if len(self.ids) > self.KEPT:
+                self.ids, self.scores = _Ids(), np.zeros(0)
+            number = self.ids.__getitem__
+            seqs = [np.array(list(map(number, words(t))), np.int64) for t in texts[a : a + self.BLOCK]]
+            if self.ids.new:
+                self.scores, self.ids.new = np.concatenate([self.scores, self.model.words(self.ids.new)]), []
+            out[a : a + len(seqs)] = [doc_logit(s, self.scores, self.model.bias) for s in seqs]
+        return out
+
+
+def windows(n: int) -> list[tuple[int, int]]:
+    """Where the windows of n words begin and end; the last one ends with the text."""
     if n <= WINDOW:
-        return np.zeros(1, np.int64)
-    return np.unique(np.r_[np.arange(0, n - WINDOW, STRIDE), n - WINDOW])
+        return [(0, n)] if n else []
+    return [(a, a + WINDOW) for a in [*range(0, n - WINDOW, STRIDE), n - WINDOW]]
 
 
 def doc_logit(ids: np.ndarray, per_word: np.ndarray, bias: float) -> float:
     """The largest window logit of a sequence of word ids, given what each id adds; an empty text has the bias alone."""
-    n = len(ids)
-    if n == 0:
-        return bias
-    size = min(n, WINDOW)
-    again = np.full(n, size)  # how far back the same word was said last, if within a window
-    for lag in range(size - 1, 0, -1):
-        again[lag:][ids[lag:] == ids[:-lag]] = lag
-    at = _starts(n)[:, None] + np.arange(size)
-    once = again[at] > np.arange(size)
-    return float(((per_word[ids][at] * once).sum(1) / (once.sum(1) + PAD)).max() + bias)
-
-
-def _segments(order_key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.argsort(order_key, kind="stable")
-    k = order_key[order]
-    starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, int)
-    return order, starts, k[starts] if len(k) else k
-
-
-def train(samples: list[tuple[str, int]], steps: int = 36, seed: int = 7) -> Model | None:
+    best = -np.inf
+    for a, b in windows(len(ids)):
+        once = np.unique(ids[a:b])
+        best = max(best, float(per_word[once].sum()) / (len(once) + PAD))
+    return bias + (best if len(ids) else 0.0)
+
+
+def train(samples: list[tuple[str, int]], steps: int = STEPS, seed: int = 7) -> Model | None:
     """None without samples of both classes."""
     whole = samples
     if sum(y for _, y in samples) >= 50:
@@ -99,95 +164,69 @@ def train(samples: list[tuple[str, int]], steps: int = 36, seed: int = 7) -> Mod
         return None
     rng = np.random.default_rng(seed)
     vocab: dict[str, int] = {}
-    seq, ends, doc_of = [], [0], []
-    for d, (text, label) in enumerate(samples):
-        ws = words(text)
-        cuts = _starts(len(ws)).tolist() if ws else []
-        if label == 0 and len(cuts) > PER_DOC:
-            cuts = [cuts[i] for i in sorted(rng.choice(len(cuts), PER_DOC, replace=False))]
-        for a in cuts:
-            seq.append(np.array([vocab.setdefault(w, len(vocab)) for w in dict.fromkeys(ws[a : a + WINDOW])], dtype=np.int64))
-            ends.append(ends[-1] + len(seq[-1]))
+    seq, doc_of, held_by = [], [], []
+    for d, (text, _) in enumerate(samples):
+        ids = np.array([vocab.setdefault(w, len(vocab)) for w in words(text)], dtype=np.int64)
+        held_by.append(np.unique(ids))
+        for a, b in windows(len(ids)):
+            seq.append(np.unique(ids[a:b]))
             doc_of.append(d)
     if not seq:
         return None
-    tok, ends, doc_of = np.concatenate(seq), np.array(ends), np.array(doc_of)
-    y_doc = np.array([y for _, y in samples], dtype=float)
-    y = y_doc[doc_of]
-    starts, inv_len = ends[:-1], 1.0 / (np.diff(ends) + PAD)
-    win_of = np.repeat(np.arange(len(starts)), np.diff(ends))
-    grams: dict[str, int] = {}
-    parts = [[grams.setdefault(g, len(grams)) for g in pieces(w)] for w in vocab]
-    sizes = np.array([len(p) for p in parts])
-    flat, w_of = np.array([g for p in parts for g in p], dtype=np.int64), np.repeat(np.arange(len(parts)), sizes)
+    sizes = np.array([len(s) for s in seq])
+    tok, win_of, inv_len = np.concatenate(seq).astype(np.int32), np.repeat(np.arange(len(seq), dtype=np.int32), sizes), 1.0 / (sizes + PAD)
+    del seq
+    flat, w_of = piece_hashes(list(vocab))
+    keys, flat = np.unique(flat, return_inverse=True)
+    by_word = np.argsort(w_of, kind="stable")
+    flat, w_of = flat[by_word].astype(np.int32), w_of[by_word]
+    n_parts = np.bincount(w_of, minlength=len(vocab))
+    inv_parts, n_words = 1.0 / n_parts, len(vocab)
     # the documents that hold each n-gram, one document at a time: all pairs at once would fill the driver
-    first, tok_doc = np.r_[0, np.cumsum(sizes)], doc_of[win_of]
-    held = np.zeros(len(grams), np.int64)
-    for of_doc in np.split(tok, np.flatnonzero(tok_doc[1:] != tok_doc[:-1]) + 1):
-        ws = np.unique(of_doc)
-        n = sizes[ws]
+    first, held = np.r_[0, np.cumsum(n_parts)], np.zeros(len(keys), np.int32)
+    for ws in held_by:
+        n = n_parts[ws]
         held[np.unique(flat[np.repeat(first[ws] - np.cumsum(n) + n, n) + np.arange(n.sum())])] += 1
+    del held_by, vocab, by_word
     known = held >= LEAST_DOCS
-    new_id = np.cumsum(known) - 1
-    keep = known[flat]
-    flat_c, w_of = new_id[flat[keep]], w_of[keep]
-    if not len(flat_c):
+    new_id, keep, used = np.cumsum(known, dtype=np.int32) - 1, known[flat], int(known.sum())
+    flat, w_of = new_id[flat[keep]], w_of[keep]
+    if not used:
         return None
-    inv_cnt = (1.0 / sizes).astype(np.float32)[:, None]
-    rows = np.flatnonzero(np.r_[True, w_of[1:] != w_of[:-1]])
-    t_order, t_starts, t_keys = _segments(tok, len(vocab))
-    f_order, f_starts, f_keys = _segments(flat_c, int(known.sum()))
-    used = int(known.sum())
-    E = rng.normal(0, 0.1, (used, DIM)).astype(np.float32)
-    W = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
-    bias = np.zeros(2, np.float32)
-    params, moment, second = [E, W, bias], [np.zeros_like(x) for x in (E, W, bias)], [np.zeros_like(x) for x in (E, W, bias)]
-    part = np.minimum(1.0, LEVEL / np.bincount(doc_of)[doc_of])
-    weight = part * np.where(y == 1, len(y) / max(1, 2 * (part * y).sum()), len(y) / max(1, 2 * (part * (1 - y)).sum()))
+    # documents with words, by their first windows
+    starts = np.flatnonzero(np.r_[True, np.diff(doc_of) > 0])
+    per_doc = np.diff(np.r_[starts, len(doc_of)])
+    y = np.array([samples[doc_of[i]][1] for i in starts], float)
+    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    params = [rng.normal(0, 0.1, (used, DIM)), rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)]
+    moment, second = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
     for t in range(1, steps + 1):
-        word_vec = np.zeros((len(parts), DIM), np.float32)
-        word_vec[w_of[rows]] = np.add.reduceat(E[flat_c], rows, axis=0)
-        word_vec *= inv_cnt
-        hidden = np.add.reduceat(word_vec[tok], starts, axis=0) * inv_len[:, None].astype(np.float32)
-        z = hidden @ W + bias
-        z -= z.max(1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(1, keepdims=True)
-        if t in (steps // 4, steps // 2):
-            # from here on a toxic document is held to its most toxic windows; its clean ones teach nothing
-            top = np.zeros(len(samples))
-            np.maximum.at(top, doc_of, p[:, 1])
-            keep = (y == 0) | (p[:, 1] >= np.maximum(0.5, 0.9 * top[doc_of])) | (p[:, 1] == top[doc_of])
-            weight = part * np.where(keep, np.where(y == 1, len(y) / max(1, 2 * (part * y * keep).sum()), len(y) / max(1, 2 * (part * (1 - y)).sum())), 0.0)
-        g = ((p - np.stack([1 - y, y], 1)) * (weight / len(y))[:, None]).astype(np.float32)
-        g_hidden = (g @ W.T) * inv_len[:, None].astype(np.float32)
-        g_word = np.zeros_like(word_vec)
-        g_word[t_keys] = np.add.reduceat(g_hidden[win_of[t_order]], t_starts, axis=0)
-        g_word *= inv_cnt
-        g_E = np.zeros_like(E)
-        g_E[f_keys] = np.add.reduceat(g_word[w_of[f_order]], f_starts, axis=0)
-        for i, grad in enumerate((g_E + DECAY * E, hidden.T @ g, g.sum(0))):
+        E, W, bias = params
+        turn = W[:, 1] - W[:, 0]  # of a softmax of two, only the difference counts
+        add = np.bincount(w_of, (E @ turn)[flat], minlength=n_words) * inv_parts
+        z = np.bincount(win_of, add[tok], minlength=len(sizes)) * inv_len + (bias[1] - bias[0])
+        top = np.maximum.reduceat(z, starts)
+        shown = z == np.repeat(top, per_doc)
+        shown = shown / np.repeat(np.add.reduceat(shown.astype(float), starts), per_doc)
+        g_doc = (1 / (1 + np.exp(-top)) - y) * weight
+        g_win = np.repeat(g_doc, per_doc) * shown
+        g_word = np.bincount(tok, (g_win * inv_len)[win_of], minlength=n_words) * inv_parts
+        g_gram = np.bincount(flat, g_word[w_of], minlength=used)
+        g_turn = E.T @ g_gram
+        for i, grad in enumerate((g_gram[:, None] * turn + DECAY / len(y) * E, np.stack([-g_turn, g_turn], 1), np.array([-1, 1]) * g_doc.sum())):
             moment[i] = 0.9 * moment[i] + 0.1 * grad
             second[i] = 0.98 * second[i] + 0.02 * grad**2
-            params[i] -= 0.25 * (moment[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.98**t)) + 1e-8)
-    add = E @ (W[:, 1] - W[:, 0])
-    model = Model({g: float(add[new_id[i]]) for g, i in grams.items() if known[i]}, float(bias[1] - bias[0]), 1.0, 0.0)
-    cache = _Words(model)
+            params[i] = params[i] - RATE * (moment[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.98**t)) + 1e-10)
+    E, W, bias = params
+    model = Model(keys[known], E @ (W[:, 1] - W[:, 0]), float(bias[1] - bias[0]), 1.0, 0.0)
     held = [x for i, x in enumerate(whole) if i % 5 == 0] if len(samples) < len(whole) else whole
     if len({y for _, y in held}) < 2:
         held = whole
-    logits = np.array([model_logit(cache, text) for text, _ in held])
+    logits = Scorer(model).logits([text for text, _ in held])
     model.slope, model.shift = calibrate(logits, np.array([y for _, y in held], dtype=float))
     return model
 
 
-def model_logit(cache: dict[str, float], text: str | None) -> float:
-    ws = words(text)
-    ids: dict[str, int] = {}
-    seq = np.array([ids.setdefault(w, len(ids)) for w in ws], dtype=np.int64)
-    return doc_logit(seq, np.fromiter(map(cache.__getitem__, ids), float, len(ids)), cache.model.bias)
-
-
 def calibrate(logits: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
     """Platt's two numbers by Newton's method, the clean weighing three times as much."""
     scale = max(1e-6, float(np.abs(logits - np.median(logits)).mean()))
@@ -205,40 +244,27 @@ def calibrate(logits: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[f
     return float(th[0] / scale), float(th[1] - th[0] * logits.mean() / scale)
 
 
-class _Words(dict):
-    """What each word adds, kept up to a bound."""
-
-    def __init__(self, model: Model):
-        super().__init__()
-        self.model = model
-
-    def __missing__(self, w: str) -> float:
-        if len(self) > 400_000:
-            self.clear()
-        v = self[w] = self.model.word(w)
-        return v
-
-
 def scorer(model: Model | None):
     """An Arrow-batched function of a text column; without a model every score is 0."""
 
     @F.pandas_udf("double")
+    @tidied
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = _Words(model) if model else None
+        logits = Scorer(model).logits if model else None
         for texts in batches:
-            out = np.zeros(len(texts))
-            if model:
-                for i, t in enumerate(texts):
-                    x = model.slope * model_logit(known, t) + model.shift
-                    out[i] = 1 / (1 + np.exp(-min(30.0, max(-30.0, x))))
-            yield pd.Series(out)
+            if logits is None:
+                yield pd.Series(np.zeros(len(texts)))
+            else:
+                yield pd.Series(1 / (1 + np.exp(-np.clip(model.slope * logits(texts.tolist()) + model.shift, -30.0, 30.0))))
 
     return score
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, per_class: tuple[int, int] = PER_CLASS) -> Model | None:
     """Trains on at most `per_class` labelled documents, clean and toxic, among those that `learn` admits."""
-    return train(labelled_texts(docs, labels, "toxic", learn, per_class))
+    model = train(labelled_texts(docs, labels, "toxic", learn, per_class))
+    tidy()
+    return model
 
 
 def learn_rule() -> Column:
@@ -247,9 +273,9 @@ def learn_rule() -> Column:
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row, repeated rows and null ids included.
+    """doc_id, held_out, score, predicted for every row, repeated rows and null ids included. Texts of any length are scored whole.
 
-    A null or empty text has the score of no words at all. Labels of unknown ids, null labels and extra columns change nothing;
+    A null or empty text has the score of no words at all; equal texts have equal scores, and an empty table gives an empty result. Labels of unknown ids, null labels and extra columns change nothing;
     without labels of both classes all scores are 0.
     """
     score = scorer(fit(docs, labels, learn_rule()))
