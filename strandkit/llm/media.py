@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 WIDTH = 64
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -60,6 +62,7 @@ def store_text():
     """A function of a text column: the padded payload's digest and its stored form; null as the empty text."""
 
     @F.pandas_udf("digest string, media binary")
+    @tidied
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             out = []
@@ -77,6 +80,7 @@ def features():
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     @F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    @tidied
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for column in batches:
             out = []
@@ -173,6 +177,7 @@ def elements():
     """A function of an HTML column: the array of its elements."""
 
     @F.pandas_udf("array<struct<kind:string,text:string,digest:string,caption:string>>")
+    @tidied
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for pages in batches:
             yield pd.Series([parse(h) for h in pages])
@@ -180,6 +185,24 @@ def elements():
     return apply
 
 
+def references():
+    """A function of an HTML column: the media references of its sequence with their positions, how many elements there are, and the
+    checksum of the text elements, one a line. For those who do not need the texts: they stay with the worker."""
+
+    @F.pandas_udf("refs array<struct<position:int,digest:string,caption:string>>, n_elements int, text_crc32 long")
+    @tidied
+    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for pages in batches:
+            out = []
+            for h in pages:
+                e = parse(h)
+                refs = [{"position": i, "digest": x["digest"], "caption": x["caption"]} for i, x in enumerate(e) if x["kind"] != "text"]
+                out.append((refs, len(e), zlib.crc32("\n".join(x["text"] for x in e if x["kind"] == "text").encode("utf-8", "surrogatepass"))))
+            yield pd.DataFrame(out, columns=["refs", "n_elements", "text_crc32"])
+
+    return apply
+
+
 def interleave(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
     """keys, position (from 0), kind, text, digest, caption: one row for each element in page order. Null or empty pages have none."""
     return pages.select(*keys, F.posexplode(elements()(html)).alias("position", "e")).select(*keys, "position", "e.*")
@@ -226,10 +249,8 @@ def document_media(docs: DataFrame) -> DataFrame:
     a line. Null is the empty text: one row of 64 zero samples. Repeated rows resolve to the same stored payload; so do null and empty
     texts, and a digest that very many rows share is one stored row, joined to rows that can be split.
     """
-    seq = pages_of(docs).select("doc_id", elements()("html").alias("e"))
-    lines = F.array_join(F.transform(F.filter("e", lambda x: x["kind"] == "text"), lambda x: x["text"]), "\n")
-    seq = seq.select("doc_id", F.size("e").alias("n_elements"), F.crc32(F.encode(lines, "UTF-8")).alias("text_crc32"), F.posexplode("e").alias("position", "x"))
-    seq = seq.where(F.col("x.kind") != "text").select("doc_id", "position", "x.digest", "x.caption", F.regexp_extract("x.caption", r"^(\d+)", 1).cast("long").alias("n_bytes"), "n_elements", "text_crc32")
+    seq = pages_of(docs).select("doc_id", references()("html").alias("r")).select("doc_id", "r.n_elements", "r.text_crc32", F.explode("r.refs").alias("x"))
+    seq = seq.select("doc_id", "x.position", "x.digest", "x.caption", F.regexp_extract("x.caption", r"^(\d+)", 1).cast("long").alias("n_bytes"), "n_elements", "text_crc32")
     read = text_store(docs).select("digest", features()("media").alias("f")).select("digest", "f.*")
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_elements", "text_crc32"]
     return resolve(seq, read).select(*names)
