@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import json
 import lzma
 import os
+import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import binary, checksum, codec
 from .operators import ordered as op
-from .plans.seq import Seq, pipe
+from .plans.seq import Seq, pipe, track
 from .session import drop_path, shared_dir
-from .sources import memory, zip_read, zip_write
+from .sources import memory, zip_format, zip_read, zip_source, zip_write
+from .streaming.channel import Channel
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -396,6 +400,146 @@ def stream_batch_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name)
 
 
+@query(f"""WITH {_TABLE}, d AS (SELECT doc_id, strlen(text) AS size, hex(encode(text)) AS h FROM documents), n AS (SELECT doc_id, printf('%08X', {_CRC}) AS c, printf('%08X', size) AS s FROM d, t)
+SELECT doc_id, '504B0708' || substr(c, 7, 2) || substr(c, 5, 2) || substr(c, 3, 2) || substr(c, 1, 2) || substr(s, 7, 2) || substr(s, 5, 2) || substr(s, 3, 2) || substr(s, 1, 2)
+ || substr(s, 7, 2) || substr(s, 5, 2) || substr(s, 3, 2) || substr(s, 1, 2) AS descriptor FROM n""")
+def zip_data_descriptor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    laid = zip_write.layout(_documents(spark, sf_dir), descriptors=True)
+    return laid.select(F.col("archive").cast("bigint").alias("doc_id"), zip_write.descriptor_hex().alias("descriptor"))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS archive, CAST(turn AS INTEGER) AS ordinal, role || '/' || lpad(CAST(turn AS VARCHAR), 5, '0') || '.txt' AS name, text, text AS again FROM conversations")
+def zip_scan_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives as a writer without seeks leaves them, read from the front and by the directory."""
+    z = zip_write.archives(_turns(spark, sf_dir, "deflate"), descriptors=True)
+    a = zip_read.scan(z).select("archive", "ordinal", "name", F.decode("content", "UTF-8").alias("text"))
+    return a.join(zip_read.entries(z).select("archive", "ordinal", F.decode("content", "UTF-8").alias("again")), ["archive", "ordinal"])
+
+
+@query("""SELECT o_orderkey, o_orderkey * 4294967296 AS usize, o_orderkey * 3 AS csize, o_orderkey * 1099511627 AS local_header_offset, 65535 + o_orderkey % 9 AS n_entries,
+ o_orderkey * 46 AS cd_size, o_orderkey * 65536 AS cd_offset FROM orders""")
+def zip64_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directory and end records whose numbers need 64 bits, written by columns and parsed back."""
+    k, when = F.col("o_orderkey").cast("bigint"), F.lit("2024-06-15 14:30:22").cast("timestamp_ntz")
+    e = _t(spark, sf_dir, "orders").select(
+        k.alias("o_orderkey"), F.lit(b"n").alias("raw_name"), F.lit(b"").alias("raw_comment"), F.lit(0).alias("method"), F.lit(1).cast("bigint").alias("crc32"),
+        (k * (1 << 32)).alias("usize"), (k * 3).alias("csize"), (k * 1099511627).alias("local_header_offset"), when.alias("last_modified"),
+    )
+    end = zip_write.end_hex(65535 + F.col("o_orderkey") % 9, F.col("o_orderkey") * 46, F.col("o_orderkey") * 65536)
+    made = e.select("o_orderkey", F.unhex(zip_write.central_hex()).alias("central"), F.unhex(end).alias("end"))
+    return made.mapInPandas(_parsed_records, "o_orderkey long, usize long, csize long, local_header_offset long, n_entries long, cd_size long, cd_offset long")
+
+
+def _parsed_records(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        out = []
+        for k, central, end in zip(f["o_orderkey"], f["central"], f["end"]):
+            e, base = zip_format.parse_directory(bytes(central), 1)[0], int(k) * 46 + int(k) * 65536  # the end record's place in its archive
+            n, size, at = zip_format.directory_span(base + len(end), lambda at, n, end=bytes(end), base=base: end[max(0, at - base) : max(0, at + n - base)].rjust(n, b"\0"))
+            out.append((k, e.uncompressed_size, e.compressed_size, e.offset, n, size, at))
+        yield pd.DataFrame(out, columns=["o_orderkey", "usize", "csize", "local_header_offset", "n_entries", "cd_size", "cd_offset"])
+
+
+def _kept(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """The rows as they are now, kept in the shared folder."""
+    shared_dir(spark)
+    return df.checkpoint(eager=True)
+
+
+@query("SELECT role || '/' || conv_id || '-' || turn AS name, text, text AS again FROM conversations")
+def zip_files_and_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives written by the data source to the shared folder, read by it with seeks, and read as files."""
+    zip_source.register(spark)
+    path = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
+    e = _turns(spark, sf_dir).withColumn("name", F.concat_ws("/", F.split("name", "/")[0], F.concat("archive", F.lit("-"), F.col("ord").cast("string"))))
+    e.repartition(4, "archive").sortWithinPartitions("archive", "ord").write.format("strandzip").mode("append").save(path)
+    a = spark.read.format("strandzip").option("path", f"{path}/*.zip").option("entries_per_partition", 2000).load()
+    b = zip_read.entries(zip_read.from_files(spark, f"{path}/*.zip"))
+    got = a.select("name", F.decode("content", "UTF-8").alias("text")).join(b.select("name", F.decode("content", "UTF-8").alias("again")), "name")
+    rows = _kept(spark, got)
+    drop_path(spark, path)
+    return rows
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS ord, n_name AS name FROM nation WHERE n_nationkey < 10")
+def stream_out_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows pulled one by one in order, by a consumer that stops after ten."""
+    s = memory.from_table(_t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("ord"), F.col("n_name").alias("name")), ["ord"])
+    rows = [tuple(r) for _, r in zip(range(10), memory.to_stream()(s))]
+    return spark.createDataFrame(rows, "ord bigint, name string")
+
+
+class _Lines:
+    """A writer of JSON lines that appear under their name when it closes."""
+
+    def __init__(self, folder: str, part: int):
+        self.path, self.lines = f"{folder}/part-{part:05d}.json", []
+
+    def write(self, row: Row) -> None:
+        self.lines.append(json.dumps(row.asDict()))
+
+    def close(self) -> None:
+        os.makedirs(os.path.dirname(self.path), exist_ok=True)
+        with open(f"{self.path}.tmp", "w") as f:
+            f.write("\n".join(self.lines))
+        os.replace(f"{self.path}.tmp", self.path)
+
+    def abort(self) -> None:
+        self.lines = []
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS ord, c_name AS name FROM customer")
+def write_to_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every partition writes a file in the shared folder, which must be mounted; read back."""
+    path = f"{shared_dir(spark).removeprefix('file:')}/written-{uuid.uuid4().hex}"
+    s = memory.from_table(_t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("ord"), F.col("c_name").alias("name")), ["ord"])
+    pipe(s, memory.write_to(lambda part: _Lines(path, part)))
+    rows = _kept(spark, spark.read.schema("ord bigint, name string").json(f"{path}/*.json"))
+    drop_path(spark, path)
+    return rows
+
+
+@query("SELECT CAST(r_regionkey AS BIGINT) AS ord, r_name AS item, CAST(1 AS BIGINT) AS seen FROM region")
+def channel_handoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A producer that waits for its consumer after every write, in a mounted folder."""
+    names = [r["r_name"] for r in _t(spark, sf_dir, "region").orderBy("r_regionkey").collect()]
+    path = f"{shared_dir(spark).removeprefix('file:')}/channel-{uuid.uuid4().hex}"
+    c, seen = Channel(spark, f"{path}/in", "item string", in_flight=1), []
+
+    def produce() -> None:
+        for name in names:
+            c.write([{"item": name}], timeout=120)
+        c.close()
+
+    t = threading.Thread(target=produce, daemon=True)
+    t.start()
+    c.consume(lambda df, i: seen.extend((r["ord"], r["item"], 1) for r in df.collect()), f"{path}/state")
+    t.join()
+    drop_path(spark, path)
+    return spark.createDataFrame(seen, "ord bigint, item string, seen bigint")
+
+
+@query("SELECT * FROM (VALUES (0::BIGINT, 'sink'), (1::BIGINT, 'query stopped'), (2::BIGINT, 'near'), (3::BIGINT, 'far'), (4::BIGINT, 'raised: the sink')) t(ord, step)")
+def pipe_teardown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sink that fails: its streaming query stops, finalizers run from the nearest to the farthest, and its error is the one raised."""
+    log: list[str] = []
+
+    class Query:
+        def stop(self) -> None:
+            log.append("query stopped")
+
+    def sink(s: Seq) -> None:
+        track(Query())
+        log.append("sink")
+        raise RuntimeError("the sink")
+
+    try:
+        pipe(memory.of(spark, 1), op.finalize(lambda: log.append("far")), op.finalize(lambda: log.append("near")), sink)
+    except RuntimeError as e:
+        log.append(f"raised: {e}")
+    return spark.createDataFrame(list(enumerate(log)), "ord bigint, step string")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

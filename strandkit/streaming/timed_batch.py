@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
-def processor(n: int, wait_ms: int, by: str, item: str):
+def processor(n: int, wait_ms: int, by: str, item: str, kind: str = "bigint"):
     """A batch ends at n items or wait_ms after its first; the rest of a key stays in state until its timer fires."""
 
     class TimedBatch(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.items = handle.getListState("items", f"{item} bigint")
+            self.items = handle.getListState("items", f"{item} {kind}")
             self.number = handle.getValueState("number", "n bigint")
 
         def _emit(self, k, items: list) -> pd.DataFrame:
@@ -28,7 +28,7 @@ def processor(n: int, wait_ms: int, by: str, item: str):
             had = bool(held)
             for frame in rows:
                 for v in frame[item]:
-                    held.append(int(v))
+                    held.append(v.item() if hasattr(v, "item") else v)
                     if len(held) >= n:
                         yield self._emit(key, held)
                         held, had = [], False
@@ -57,10 +57,13 @@ def processor(n: int, wait_ms: int, by: str, item: str):
 
 
 def batch_timed_stream(df: DataFrame, n: int, wait_ms: int, key: str, item: str) -> DataFrame:
-    """key, batch_id, items, for a stream of bigint items. Needs the RocksDB state store provider."""
-    kind = dict(df.dtypes)[key]
+    """key, batch_id, items, for a stream of items of a numeric or string type that are not null. Needs the RocksDB state store provider."""
+    kinds = dict(df.dtypes)
     return df.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=processor(n, wait_ms, key, item), outputStructType=f"{key} {kind}, batch_id bigint, items array<bigint>", outputMode="Append", timeMode="ProcessingTime"
+        statefulProcessor=processor(n, wait_ms, key, item, kinds[item]),
+        outputStructType=f"{key} {kinds[key]}, batch_id bigint, items array<{kinds[item]}>",
+        outputMode="Append",
+        timeMode="ProcessingTime",
     )
 
 

@@ -30,20 +30,22 @@ def test_channel_error_comes_after_what_was_written(spark, tmp_path):
     assert seen == [1]
 
 
-def test_timed_batches_on_a_stream(spark, tmp_path):
-    c = Channel(spark, str(tmp_path / "c"), "k string, item bigint")
-    c.write([{"k": "a", "item": i} for i in range(5)])
+@pytest.mark.parametrize(("kind", "of"), [("bigint", int), ("string", str)])
+def test_timed_batches_on_a_stream(spark, tmp_path, kind, of):
+    c = Channel(spark, str(tmp_path / "c"), f"k string, item {kind}")
+    c.write([{"k": "a", "item": of(i)} for i in range(5)])
     out = batch_timed_stream(c.source(), 2, 60_000, "k", "item")
-    q = out.writeStream.format("memory").queryName("timed").option("checkpointLocation", str(tmp_path / "k")).outputMode("append").start()
+    q = out.writeStream.format("memory").queryName(f"timed_{kind}").option("checkpointLocation", str(tmp_path / "k")).outputMode("append").start()
     try:
         until = time.time() + 60
-        while time.time() < until and spark.table("timed").count() < 2 and q.isActive:
+        while time.time() < until and spark.table(f"timed_{kind}").count() < 2 and q.isActive:
             time.sleep(0.5)
     finally:
         q.stop()
-    got = sorted(spark.table("timed").collect(), key=lambda r: r["batch_id"])
+    got = sorted(spark.table(f"timed_{kind}").collect(), key=lambda r: r["batch_id"])
     assert [len(r["items"]) for r in got][:2] == [2, 2]  # the fifth item waits for its timer
     assert sorted(r["batch_id"] for r in got) == list(range(len(got)))
+    assert {type(x) for r in got for x in r["items"]} == {of}
     assert len({x for r in got for x in r["items"]}) == sum(len(r["items"]) for r in got) >= 4
 
 
