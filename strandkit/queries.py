@@ -419,7 +419,7 @@ def zip_scan_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderkey, o_orderkey * 4294967296 AS usize, o_orderkey * 3 AS csize, o_orderkey * 1099511627 AS local_header_offset, 65535 + o_orderkey % 9 AS n_entries,
  o_orderkey * 46 AS cd_size, o_orderkey * 65536 AS cd_offset FROM orders""")
 def zip64_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directory and end records whose numbers need 64 bits, written by columns and parsed back."""
+    """Directory and end records whose numbers need 64 bits, up to what a bigint holds, written by columns and parsed back."""
     k, when = F.col("o_orderkey").cast("bigint"), F.lit("2024-06-15 14:30:22").cast("timestamp_ntz")
     e = _t(spark, sf_dir, "orders").select(
         k.alias("o_orderkey"), F.lit(b"n").alias("raw_name"), F.lit(b"").alias("raw_comment"), F.lit(0).alias("method"), F.lit(1).cast("bigint").alias("crc32"),
@@ -434,8 +434,8 @@ def _parsed_records(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         out = []
         for k, central, end in zip(f["o_orderkey"], f["central"], f["end"]):
-            e, base = zip_format.parse_directory(bytes(central), 1)[0], int(k) * 46 + int(k) * 65536  # the end record's place in its archive
-            n, size, at = zip_format.directory_span(base + len(end), lambda at, n, end=bytes(end), base=base: end[max(0, at - base) : max(0, at + n - base)].rjust(n, b"\0"))
+            e, base = zip_format.parse_directory(bytes(central), 1, zip_format.BIGINT)[0], int(k) * 46 + int(k) * 65536  # the end record's place in its archive
+            n, size, at = zip_format.directory_span(base + len(end), lambda at, n, end=bytes(end), base=base: end[max(0, at - base) : max(0, at + n - base)].rjust(n, b"\0"), zip_format.BIGINT)
             out.append((k, e.uncompressed_size, e.compressed_size, e.offset, n, size, at))
         yield pd.DataFrame(out, columns=["o_orderkey", "usize", "csize", "local_header_offset", "n_entries", "cd_size", "cd_offset"])
 

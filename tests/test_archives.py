@@ -125,6 +125,18 @@ def test_wide_fields():
             z.wide_fields(bad, full, full, 0, "x")
 
 
+def test_wide_fields_up_to_a_bigint():
+    full, most = 0xFFFFFFFF, (1 << 63) - 1
+    assert z.wide_fields(struct.pack("<HHQQ", 1, 16, 1 << 53, most), full, full, 0, "x", z.BIGINT) == (1 << 53, most, 0)
+    with pytest.raises(CorruptArchive, match="of 2.63 or more"):
+        z.wide_fields(struct.pack("<HHQ", 1, 8, 1 << 63), full, 0, 0, "x", z.BIGINT)
+    end = struct.pack("<IQHHIIQQQQ", z.END64, 44, 45, 45, 0, 0, 1 << 53, 1 << 53, most, 5) + struct.pack("<IIQI", z.LOCATOR, 0, 0, 1) + struct.pack("<IHHHHIIH", z.END, 0, 0, z.FULL16, z.FULL16, full, full, 0)
+    read = lambda a, n: end[a : a + n]
+    assert z.directory_span(len(end), read, z.BIGINT) == (1 << 53, most, 5)
+    with pytest.raises(CorruptArchive, match="of 2.53 or more"):
+        z.directory_span(len(end), read)
+
+
 def test_wide_headers_match_zipfile_rules(spark):
     big = (1 << 32) + 5
     row = spark.createDataFrame([("a", 0, bytearray(b"n"), bytearray(b""), 0, 1, big, big, big + 9, WHEN)], "archive string, ord bigint, raw_name binary, raw_comment binary, method int, crc32 bigint, csize bigint, usize bigint, local_header_offset bigint, last_modified timestamp_ntz")
